@@ -151,10 +151,10 @@ def block_keys(rows: int, budget: int) -> list[int]:
     """The bucket keys, as bit masks.
 
     Of budget + r blocks at least r agree in a linked pair, so that all sets of r blocks find
-    all links, whatever r.  r is the least with which a bucket holds ``FILL`` of so many
-    rows: for a budget of 4, 5 keys of 13 bits, then 15 of 21 bits, then 35 of 27 bits.
+    all links, whatever r.  r is the least from 2 with which a bucket holds ``FILL`` of so many
+    rows: for a budget of 4, 15 keys of 21 bits up to 2^26 rows, then 35 of 27 bits.
     """
-    agree = next(r for r in range(1, BITS - budget) if rows <= FILL << (BITS * r // (budget + r)) or r == 4)
+    agree = next(r for r in range(2, BITS - budget) if rows <= FILL << (BITS * r // (budget + r)) or r == 4)
     blocks = budget + agree
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
