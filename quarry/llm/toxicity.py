@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import id_fold
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Letters of a word that make its stem: vocabulary for insults is built on few stems.
-STEM = 4
+#: Lengths of the stems of a word: insults of a language share stems, some of which harmless words share too.
+SHORTEST, LONGEST = 4, 9
 #: Chi-square of a stem with the label over the examples, from which it is a term of the index.
 CHI_SQUARE = 24.0
 BLOCK = 64
@@ -25,11 +25,14 @@ NEIGHBOURS = 15
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 1000, 3000
 
 
-def stems(text: str) -> Counter:
-    """Stem counts of a whole text."""
+def stems(text: str, known: dict | None = None) -> Counter:
+    """Stem counts of a whole text; only those of ``known`` if it is given."""
     counts: Counter = Counter()
     for word, n in Counter(WORD.findall(text.lower())).items():
-        counts[word[:STEM]] += n
+        for size in range(min(SHORTEST, len(word)), min(LONGEST, len(word)) + 1):
+            stem = word[:size]
+            if known is None or stem in known:
+                counts[stem] += n
     return counts
 
 
@@ -190,7 +193,7 @@ def score_toxicity(docs: DataFrame, index: ToxicIndex, id_col: str = "doc_id", t
     def run(batches):
         index = shared.value
         for batch in batches:
-            near = [index.search(index.vector(stems(t or "")), NEIGHBOURS) for t in (x.as_py() for x in batch.column(1))]
+            near = [index.search(index.vector(stems(t or "", index.idf)), NEIGHBOURS) for t in (x.as_py() for x in batch.column(1))]
             score = [index.score(x) for x in near]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array([x[0][0] if x else 0.0 for x in near], pa.float64()), pa.array([int(sum(index.labels[i] for _, i in x)) for x in near], pa.int32())],
@@ -210,7 +213,7 @@ def drop_toxic(docs: DataFrame, index: ToxicIndex, text_col: str = "text", thres
         index = shared.value
         for batch in batches:
             texts = batch.column(names.index(text_col))
-            keep = [index.score(index.search(index.vector(stems(t.as_py() or "")), NEIGHBOURS)) < threshold for t in texts]
+            keep = [index.score(index.search(index.vector(stems(t.as_py() or "", index.idf)), NEIGHBOURS)) < threshold for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
