@@ -1,0 +1,489 @@
+"""Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, and against brute force."""
+
+import hashlib
+import itertools
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quarry.llm import exact_dedup, licenses, line_dedup, mixing, pieces, quality_model, quality_rules, secrets, simhash, toxicity
+from quarry.llm.components import components
+from quarry.llm.queries import model_path
+
+BLANKS = str.maketrans("", "", " \t\n\x0b\f\r")
+ALL = " \t\n\x0b\f\r"
+
+
+def words_of(text):
+    out = text
+    for b in ALL:
+        out = out.replace(b, " ")
+    return [w for w in out.split(" ") if w]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Rows that an operator must take: id, text, source, and columns whose names the operators use within."""
+    rng = random.Random(5)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "épsilon"]) + str(rng.randrange(50)) for _ in range(30_000))
+    texts = [None, "", " \t\n", "one", "one", "o n\te", "One two three four five six", "one two three four five six", long, long, long + " x", "日本 語 text here", "a\r\nb\x00c", "password=abc123def", "Released under the MIT License.\nx"]
+    rows = [(i, t, f"s{i % 3}" if i % 5 else None, "x", 1, "k", 2.0, 7) for i, t in enumerate(texts)]
+    rows += [rows[6], rows[6], (None, "one", "s1", "x", 1, "k", 2.0, 7), (None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, key string, n long, id string, score double, fp long")
+
+
+def empty(odd):
+    return odd.limit(0)
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def plain(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+# -- exact dedup
+
+def exact_brute(docs):
+    groups = {}
+    for i, t in docs:
+        groups.setdefault((t or "").translate(BLANKS), []).append((-len(t or ""), i is None, i))
+    out = []
+    for i, t in docs:
+        n = (t or "").translate(BLANKS)
+        best = min(groups[n], key=lambda g: (g[0], g[1], g[2] or 0))
+        out.append((i, best[2], len(groups[n]), i == best[2], hashlib.sha256(n.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_exact_groups(odd, monkeypatch):
+    want = exact_brute(plain(odd))
+    for bound in (exact_dedup.bounded, lambda df: False):
+        monkeypatch.setattr(exact_dedup, "bounded", bound)
+        got = exact_dedup.exact_groups(odd, digest=True)
+        assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in rows(got)), key=str) == want
+    assert exact_dedup.exact_groups(empty(odd), digest=True).count() == 0
+
+
+def test_drop_exact_leaves_one_of_each(odd):
+    out = exact_dedup.drop_exact(odd.where("doc_id IS NOT NULL"))
+    assert out.columns == odd.columns
+    left = [(t or "").translate(BLANKS) for _, t in plain(out)]
+    assert len(left) == len(set(left)) == len({(t or "").translate(BLANKS) for i, t in plain(odd) if i is not None})
+
+
+# -- SimHash
+
+def fingerprint_brute(text, width=4):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = words_of(text)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def groups_brute(docs, budget=4):
+    prints = [fingerprint_brute(t) for _, t in docs]
+    part = list(range(len(docs)))
+
+    def root(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(docs)), 2):
+        if bin(prints[a] ^ prints[b]).count("1") <= budget:
+            part[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(docs):
+        if i is not None:
+            least[root(k)] = min(least.get(root(k), i), i)
+    return sorted(((i, prints[k], least.get(root(k))) for k, (i, _) in enumerate(docs)), key=str)
+
+
+def test_near_groups(odd):
+    got = rows(simhash.near_groups(odd))
+    assert sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got), key=str) == groups_brute([(i, t[:20_000] if t and len(t) > 9**9 else t) for i, t in plain(odd)])
+    assert simhash.near_groups(empty(odd)).count() == 0
+
+
+def test_near_groups_of_edited_texts(spark, monkeypatch):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    docs = []
+    for _ in range(25):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(3, 200))]
+        for _ in range(8):
+            edited = list(base)
+            for _ in range(rng.randrange(3)):
+                edited[rng.randrange(len(edited))] = rng.choice(vocabulary)
+            docs.append((len(docs), " ".join(edited)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = groups_brute(docs)
+    for hot in (simhash.HOT, 2):  # buckets dealt to cells as well
+        monkeypatch.setattr(simhash, "HOT", hot)
+        got = rows(simhash.near_groups(df))
+        assert sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got), key=str) == want
+    kept = {r["doc_id"] for r in rows(simhash.drop_near(df))}
+    assert kept == {c for _, _, c in want}
+
+
+def test_trie_join_against_all_pairs():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 50, 300):
+        base = rng.integers(0, 1 << 63, size=5, dtype=np.uint64)
+        codes = np.unique(np.array([int(rng.choice(base)) ^ sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(0, 8)).tolist())) for _ in range(n)], np.uint64))
+        label = list(range(len(codes)))
+        for a, b in itertools.combinations(range(len(codes)), 2):
+            if int(codes[a] ^ codes[b]).bit_count() <= 4:
+                x, y = label[a], label[b]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+        for step in (4, 1 << 18):
+            assert simhash.trie_self_join(codes, np.zeros(len(codes), np.int64), 4, step=step).tolist() == label
+
+
+def test_block_keys_find_all_links():
+    rng = random.Random(1)
+    for size in (10, 1 << 22, 1 << 30):
+        masks = simhash.block_keys(size, 4)
+        for _ in range(300):
+            x = sum(1 << b for b in rng.sample(range(64), rng.randrange(5)))
+            assert any(not x & m for m in masks)
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 480)]
+    part = {v: v for e in edges for v in e}
+    for _ in range(500):
+        before = dict(part)
+        for a, b in edges:
+            part[a] = part[b] = min(part[a], part[b])
+        if part == before:
+            break
+    got = {r["node"]: r["component"] for r in rows(components(spark.createDataFrame(edges, "u long, v long")))}
+    assert got == {v: c for v, c in part.items() if v != c}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# -- toxicity
+
+def test_block_max_search_is_exact():
+    rng = random.Random(4)
+    vocabulary = [f"t{i}" for i in range(60)]
+    examples = []
+    for i in range(400):
+        y = i % 4 == 0
+        counts = Counter(rng.choices(vocabulary, k=20)) + (Counter(rng.choices(["bad", "worse", "worst"], k=3)) if y else Counter())
+        examples.append((int(y), dict(counts)))
+    index = toxicity.fit(examples, 0.25)
+    assert {"bad", "worse", "worst"} <= set(index.idf)
+    vectors = {}
+    for term, blocks in index.postings.items():
+        for block, top, who, weights in blocks:
+            assert top == max(weights)
+            for i, w in zip(who, weights):
+                vectors.setdefault(block * toxicity.BLOCK + int(i), {})[term] = w
+    for _ in range(60):
+        q = index.vector(Counter(rng.choices([*vocabulary, "bad", "worse", "worst"], k=15)))
+        brute = sorted(((round(sum(q.get(t, 0) * w for t, w in v.items()), 9), i) for i, v in vectors.items()), key=lambda p: (-p[0], p[1]))
+        assert index.search(q, 7) == [p for p in brute if p[0] > 0][:7]
+    scores = [index.score(index.search(index.vector(c), toxicity.NEIGHBOURS)) for _, c in examples]
+    assert sum((s >= 0.5) == y for s, (y, _) in zip(scores, examples)) > 390
+
+
+def test_toxicity_on_odd_rows(odd):
+    index = toxicity.fit([(i % 2, {"vile": 1} if i % 2 else {"kind": 1}) for i in range(200)], 0.1)
+    got = rows(toxicity.score_toxicity(odd, index))
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    assert toxicity.score_toxicity(empty(odd), index).count() == 0
+    assert toxicity.drop_toxic(odd, index).columns == odd.columns
+    assert toxicity.drop_toxic(odd, toxicity.ToxicIndex({}, {}, np.zeros(0, np.int8), prior=0.1)).count() == odd.count()
+
+
+def held_out_accuracy(spark, name, label, folds, held):
+    from quarry.llm.queries import queries
+
+    d = "/root/testdata/sf0.1"
+    got = queries()[name](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("doc_id", "held_out", "predicted", label).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % folds == held) for r in got)
+    mine = [r for r in got if r["held_out"]]
+    return [sum(r["predicted"] == r[label] == y for r in mine) / sum(r[label] == y for r in mine) for y in (0, 1)]
+
+
+def test_toxicity_held_out(spark):
+    # about one in twenty toxic labels of this small table is on junk without a toxic word
+    clean, toxic = held_out_accuracy(spark, "op2_toxicity", "toxic", 5, 0)
+    assert clean > 0.98 and toxic > 0.8
+
+
+def test_quality_held_out(spark):
+    assert min(held_out_accuracy(spark, "op5_quality_model", "quality", 3, 1)) > 0.95
+
+
+# -- quality model
+
+def test_machine_is_the_sum_over_pairs():
+    rng = np.random.default_rng(1)
+    m = quality_model.Machine(0.3, rng.normal(size=quality_model.SIZE), rng.normal(size=(quality_model.SIZE, 3)))
+    index, value = quality_model.features("Some text with, words and | bars!!\nmore words")
+    pairs = sum(float(m.factor[a] @ m.factor[b]) * x * y for (a, x), (b, y) in itertools.combinations(list(zip(index, value)), 2))
+    want = m.bias + sum(m.weight[i] * x for i, x in zip(index, value)) + pairs
+    assert m.margin([(index, value), ([], [])]) == pytest.approx([want, m.bias])
+
+
+def test_quality_on_odd_rows(odd):
+    m = quality_model.fit([(i % 2, quality_model.features("good words here" if i % 2 else "BAD!! BAD!!")) for i in range(60)], 0.5)
+    got = rows(quality_model.score_quality(odd, m))
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert quality_model.score_quality(empty(odd), m).count() == 0
+
+
+# -- secrets
+
+def test_trigram_queries_lose_nothing():
+    rng = random.Random(6)
+    parts = ["password", "PASSWD", "secret", "Token", "api_key", "apikey", "=", ":", " ", '"', "'", "AKIA", "ABCD1234EFGH5678", "0123456789abcdef", "deadbeef", "x", "\n", "-----BEGIN RSA PRIVATE KEY-----", "ghp_", "A" * 36, "xoxb-", "https://u:p@h", "é", "ſecret=abcdef12", "toKen=abcdefg"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(800)] + ["", "ab"]
+    queries = [secrets.trigram_query(r.pattern) for r in secrets.RULES]
+    assert queries[2] is True and all(q is not True for i, q in enumerate(queries) if i != 2)
+    index = secrets.BatchIndex(sorted(set().union(*map(secrets.query_grams, queries))))
+    found = secrets.scan_batch(index, queries, secrets.RULES, texts)
+    for text, spans in zip(texts, found):
+        assert spans == sorted((a, k, b) for k, r in enumerate(secrets.RULES) for a, b in r.spans(text))
+    edge = ["...pass", "word=abcdef", "toke", "n"]  # no match over two documents
+    assert secrets.scan_batch(index, queries, secrets.RULES, edge) == [[], [], [], []]
+
+
+def test_failing_matches_are_consumed():
+    assert secrets.BASE[0].spans('secret: "token":abcdefgh') == []
+    assert secrets.BASE[0].spans('token = "abcdef"') == [(0, 15)]
+
+
+def test_secrets_on_odd_rows(odd):
+    got = {(r["doc_id"], r["base_sha256"], r["n_assign"]) for r in rows(secrets.digest(secrets.scan_secrets(odd)))}
+    assert got == {(i, secrets.digest_of(t or ""), int(i == 13)) for i, t in plain(odd)}
+    assert secrets.digest(secrets.scan_secrets(empty(odd))).count() == 0
+
+
+# -- quality rules
+
+def base_brute(text):
+    text = text or ""
+    words = words_of(text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    counts = Counter(windows)
+    marked = {j for i, w in enumerate(windows) if counts[w] > 1 for j in range(i, i + 3)}
+    seen, twice = set(), 0
+    for line in text.split("\n"):
+        if words_of(line):
+            twice += line in seen
+            seen.add(line)
+    failed = len(words) < 50 or 100 * len(marked) > 50 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), twice, len(marked), failed
+
+
+def test_quality_rules(odd, spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abc", k=rng.randrange(80))).replace("a b", "a\nb") for _ in range(200)] + ["x\n" * 60, "#| " * 70]
+    df = odd.select("doc_id", "text", "key").union(spark.createDataFrame([(100 + i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, key string"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    got = rows(quality_rules.quality_rules(df))
+    assert sorted((str(r["doc_id"]), *(r[n] for n in names)) for r in got) == sorted((str(i), *base_brute(t)) for i, t in plain(df))
+    assert all(not r["kept"] for r in got if r["base_failed"])
+    assert quality_rules.quality_rules(empty(odd)).count() == 0
+
+
+def test_lines_that_fail_go():
+    prose = "\n".join(" ".join(f"word{i}{j}" for j in range(12)) + "." for i in range(10))
+    found = quality_rules.judge(f"Home\n{prose}\nAll rights reserved.\n| a | b | c |\nBUY!! NOW!! CHEAP!!")
+    assert found["kept"] and found["cleaned"] == prose and found["lines_dropped"] == 4
+    assert not quality_rules.judge(prose + "\n" + "A!! B!! C!! D!!\n" * 40)["kept"]
+
+
+# -- lines
+
+def lines_brute(docs):
+    """By all pairs of lines: the kept text of each document."""
+    import re
+
+    def pair_hash(a, b):
+        """Spark's hash of two texts: that of the second, seeded with that of the first; a null changes nothing."""
+        first = xxhash.xxh64_intdigest(a.encode(), 42)
+        return first if b is None else xxhash.xxh64_intdigest(b.encode(), first)
+
+    def norm(line):
+        return "".join(c if c.isalpha() or c.isnumeric() else " " for c in line.lower())
+
+    found, sims = [], {}
+    for i, t in docs:
+        for k, line in enumerate((t or "").split("\n")):
+            words = re.sub(" +", " ", norm(line)).strip(" ")
+            if words:
+                found.append((i, k, words))
+                if words not in sims:
+                    parts = words.split(" ")
+                    hashes = [pair_hash(a, b) for a, b in zip(parts, [*parts[1:], None])]
+                    sims[words] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    part = {w: w for w in sims}
+
+    def root(w):
+        while part[w] != w:
+            w = part[w]
+        return w
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for a, b in itertools.combinations(sims, 2):
+        if bin(sims[a] ^ sims[b]).count("1") <= line_dedup.BUDGET and distance(a, b) <= (1 - line_dedup.SIMILARITY) * max(len(a), len(b)):
+            part[root(a)] = root(b)
+    first = {}
+    for i, k, w in sorted(found):
+        first.setdefault(root(w), (i, k))
+    gone = {(i, k) for i, k, w in found if first[root(w)] != (i, k)}
+    return {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if (i, k) not in gone) for i, t in docs}
+
+
+def test_line_dedup(spark, monkeypatch):
+    rng = random.Random(9)
+    vocabulary = [f"word{i}" for i in range(300)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 40, 120]))] for _ in range(30)]
+    docs = []
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randrange(5)):
+            line = list(rng.choice(base))
+            if len(line) > 30 and rng.random() < 0.7:
+                line[rng.randrange(len(line))] = rng.choice(vocabulary)
+            lines.append(" ".join(line).upper() if rng.random() < 0.3 else " ".join(line) + "!!")
+        docs.append((i, "\n".join([*lines, "", "--"])))
+    df = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, n_lines long, key string")
+    got = {r["doc_id"]: r["cleaned"] for r in rows(line_dedup.dedup_lines(df))}
+    want = lines_brute(docs)
+    assert got == want
+    assert any(want[i] != t for i, t in docs)
+
+
+def test_line_dedup_on_odd_rows(odd):
+    got = rows(line_dedup.dedup_lines(odd))
+    assert len(got) == odd.count()
+    by_id = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    assert by_id[3]["n_dropped"] == 0 and by_id[4]["cleaned"] == "" and by_id[0]["cleaned"] == "" and by_id[7]["n_dropped"] == 1
+    assert line_dedup.dedup_lines(empty(odd)).count() == 0
+
+
+# -- licences
+
+def test_licenses(odd, spark):
+    sentence = licenses.SENTENCES
+    full = ".\n".join(sentence[s].upper() for s in ("mit_grant", "mit_notice", "mit_as_is", "mit_liability"))
+    texts = ["Licensed under the Apache License, Version 2.0.\nsome words", full, f"{full}. Hello there. {sentence['cc0_line']}", "licensed under CC BY-NC 4.0. Released under the MIT License!", "not licensed under the MIT license terms"]
+    got = [(r["licenses"], r["n_matches"], r["n_sentences"]) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [("Apache-2.0", 1, 1), ("MIT", 1, 4), ("CC0-1.0,MIT", 2, 5), ("CC-BY-NC-4.0,MIT", 2, 2), ("", 0, 0)]
+    found = rows(licenses.scan_licenses(odd))
+    assert len(found) == odd.count() and {r["doc_id"] for r in found if r["licenses"]} == {14}
+    assert licenses.scan_licenses(empty(odd)).count() == 0
+
+
+# -- pieces
+
+def test_pieces_are_the_librarys():
+    coder = pieces.encoder(model_path())
+    rng = random.Random(10)
+    bits = [*"abcdefgh the in\n\r\t.,;(){}/*\"'é▁日本ß한😀\x00<s>0123ABC", "  ", "    ", "\r\n", "the ", "ing", "ation", "</s>", "<0x41>", "▁", "﻿"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(60))) for _ in range(3000)]
+    texts += [" " * n + tail for n in range(70) for tail in ("", "a", "the  x", "\n")] + ["", "a" * 3000, "ab" * 2000, "é" * 500]
+    for text in texts:
+        ids = coder.encode(text)
+        assert ids == coder.library.encode(text), text
+        assert coder.decode(ids) == coder.library.decode(ids)
+
+
+def test_segments_stay_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_SEGMENTS", 10)
+    coder = pieces.MergeEncoder(model_path())
+    text = " ".join(f"w{i}x" for i in range(200))
+    assert coder.encode(text) == coder.library.encode(text)
+    assert len(coder.segments) <= 10
+
+
+def test_pieces_on_odd_rows(odd):
+    coder = pieces.encoder(model_path())
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows(pieces.encode_pieces(odd, model_path())))
+    want = []
+    for i, t in plain(odd):
+        ids = coder.library.encode(t or "")
+        text = coder.library.decode(ids) if ids else ""
+        want.append((str(i), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    assert got == sorted(want)
+    assert pieces.encode_pieces(empty(odd), model_path()).count() == 0
+    back = pieces.decode_pieces(pieces.encode_pieces(odd.where("doc_id < 3"), model_path(), with_ids=True), model_path())
+    assert all(hashlib.sha256(r["decoded"].encode()).hexdigest() == r["decoded_sha256"] for r in rows(back))
+
+
+# -- mixing
+
+def test_weights_meet_the_targets(spark):
+    sources = spark.createDataFrame([("a", 9, 9000), ("b", 2, 600), ("c", 1, 400)], "key string, docs long, tokens long")
+
+    def solved(mix):
+        w, budget = mixing.weights(sources, mix)
+        return {r["key"]: r for r in rows(w)}, budget
+
+    w, budget = solved(mixing.Mixture(entropy=0.8, repetition=100.0))
+    p = np.array([w[k]["weight"] for k in "abc"])
+    assert p.sum() == pytest.approx(1) and -(p * np.log(p)).sum() == pytest.approx(0.8 * np.log(3), abs=1e-6) and budget == 10000
+    w, _ = solved(mixing.Mixture(entropy=0.99, repetition=2.0))
+    assert max(w[k]["quota"] / w[k]["tokens"] for k in "abc") == pytest.approx(2.0, rel=1e-2)
+    w, _ = solved(mixing.Mixture(entropy=0.99, repetition=2.0, cover=True))
+    assert all(1 <= w[k]["quota"] / w[k]["tokens"] <= 2.01 for k in "abc")
+    w, _ = solved(mixing.Mixture(entropy=0.1))
+    assert [round(w[k]["weight"], 3) for k in "abc"] == [0.9, 0.06, 0.04]
+
+
+def test_plan_is_a_stream_of_permutations(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOT_DOCS", 8)
+    monkeypatch.setattr(mixing, "GROUP_SLOTS", 4)
+    rng = random.Random(11)
+    docs = [(i, " ".join(["w"] * rng.randrange(1, 30)), "big" if i % 10 else "small") for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    mix = mixing.Mixture(entropy=0.99, repetition=3.0, blocks=8)
+    got = rows(mixing.plan(df, mix))
+    tokens = {s: sum(len(t.split()) for _, t, x in docs if x == s) for s in ("big", "small")}
+    for s in tokens:
+        stream = sorted((r for r in got if r["source"] == s), key=lambda r: r["start"])
+        at = 0
+        for r in stream:
+            assert r["start"] == at and r["epoch"] == at // tokens[s]
+            at += r["tokens"]
+        for e in range(at // tokens[s]):
+            assert Counter(r["id"] for r in stream if r["epoch"] == e) == Counter(i for i, _, x in docs if x == s)
+        assert [r["block"] for r in stream] == sorted(r["block"] for r in stream)
+    small = sum(r["tokens"] for r in got if r["source"] == "small")
+    assert small / tokens["small"] == pytest.approx(3.0, rel=0.05)
+    # every block has the sources by their weights
+    shares = [sum(r["tokens"] for r in got if r["block"] == b and r["source"] == "small") / sum(r["tokens"] for r in got if r["block"] == b) for b in range(8)]
+    assert max(shares) - min(shares) < 0.05
+
+
+def test_mixing_on_odd_rows(odd):
+    out = mixing.mixed(odd, mixing.Mixture(repetition=2.0, cover=True))
+    assert out.columns == odd.columns
+    assert {str(x) for x in plain(out)} == {str(x) for x in plain(odd)}
+    assert mixing.mixed(empty(odd), mixing.Mixture(cover=True)).count() == 0
+    assert mixing.plan(empty(odd), mixing.Mixture()).count() == 0
