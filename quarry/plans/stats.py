@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -72,10 +73,16 @@ def column_stats(r: Resolved, column: pa.Array) -> dict:
     keys, out["beyond"], out["refused"], total, scale = {}, 0, 0, 0, 0
     sums = r.type.kind in values.LIMITS or r.type.kind == "decimal"
     scale = r.type.args[1] if r.type.kind == "decimal" else 0
+    shapes = []
     for v, n in counts.items():
         try:
-            x = values.decode(r.type, v)
-            keys[v] = values.order_key(r.type, v)
+            t = r.type
+            if t.kind == "array":  # as many dimensions as the value has: that is what the census is about
+                items = values.array_items(v, t.delimiter)
+                t = replace(t, dims=values.dimensions(items))
+                shapes += [t.dims] if items else []
+            x = values.decode(t, v)
+            keys[v] = values.order_key(t, v)
             if values.holds_beyond(x):
                 out["beyond"] += n
             elif sums:
@@ -85,8 +92,7 @@ def column_stats(r: Resolved, column: pa.Array) -> dict:
             out.setdefault("refusal", str(e)[:200])
     out |= {"total": total if sums and abs(total) < 10**38 else None, "total_scale": scale if sums else None}
     if r.type.kind == "array":
-        dims = [values.dimensions(values.array_items(v, r.type.delimiter)) for v in keys if v.replace(" ", "") != "{}"]
-        out |= {"dims_low": min(dims, default=None), "dims_high": max(dims, default=None)}
+        out |= {"dims_low": min(shapes, default=None), "dims_high": max(shapes, default=None)}
     if keys and values.ordered(r.type):
         low, high = min(keys, key=keys.get), max(keys, key=keys.get)
         plain = r.type.kind in ("text", "varchar", "bpchar", "bytea")

@@ -153,8 +153,8 @@ def scan_structure(location: str, source, spark: SparkSession | None = None, pre
                 k = bisect_left(ends, at)
                 if k == len(ends):
                     raise DumpError(f"the block of {header.table} at {offset} has no end")
-                last = source.read(ends[k], min(size, ends[k] + 3))
-                end = ends[k] + (len(last) if last.endswith(b"\n") or ends[k] + 3 >= size and b"\n" not in last else last.index(b"\n") + 1)
+                last = source.read(ends[k], min(size, ends[k] + 4))
+                end = ends[k] + (last.index(b"\n") + 1 if b"\n" in last else len(last))
                 block = CopyBlock(len(out.blocks), db.name, header, offset, at, ends[k], end, raw.endswith(b"\r\n"), root)
                 out.blocks.append(block)
                 out.spans.append(Span(offset, end, "copy", db.name, header.table))
