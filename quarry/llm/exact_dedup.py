@@ -50,7 +50,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     best = F.min(F.struct(-F.col("chars"), F.col("id").isNull(), F.col("id"))).alias("best")
     groups = hashed.where(~F.col("key").startswith("id:")).groupBy("key").agg(F.count(F.lit(1)).alias("group_size"), best)
-    groups = groups.where("group_size > 1").select("key", "group_size", F.col("best.id").alias("keep_id"), F.lit(True).alias("grouped"))
+    # cut, so that the join has an exchange of its own on either side and can split a hot group
+    groups = cut(groups.where("group_size > 1").select("key", "group_size", F.col("best.id").alias("keep_id"), F.lit(True).alias("grouped")))
     keep = F.when(F.col("grouped"), F.col("keep_id")).otherwise(F.col("id"))
     return hashed.join(groups, "key", "left").select(
         F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
