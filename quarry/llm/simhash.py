@@ -223,7 +223,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = components(links(codes.select("fp"), budget))
     part = F.coalesce("component", "fp").alias("part")
     joined = codes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", part)
-    least = joined.groupBy("part").agg(F.min("least").alias("component_id"))
+    # cut, so that the join has an exchange of its own on either side and can split a hot component
+    least = cut(joined.groupBy("part").agg(F.min("least").alias("component_id")))
     by_code = joined.join(least, "part").select("fp", "component_id")
     return marked.join(by_code, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
