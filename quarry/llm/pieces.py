@@ -24,6 +24,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
 SEGMENT = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
@@ -186,7 +187,7 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 def decode_pieces(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with the text of each id list; null lists give null."""
-    schema = df.schema.add(text_col, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(text_col, T.StringType())])
 
     def run(batches):
         coder = encoder(path)
