@@ -12,11 +12,13 @@ from collections import Counter
 from dataclasses import replace
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import RefusedValue
 from ..functions import values
+from ..functions.columns import fast
 from ..functions.pgtypes import Resolved
 from ..sources.dumpmap import CopyBlock
 from ..sources.rows import columns_of, row_bytes
@@ -62,8 +64,41 @@ def successor(text: str) -> tuple[str | None, bool]:
     return None, False
 
 
+def plain_stats(r: Resolved, column: pa.Array) -> dict | None:
+    """The statistics by Arrow's kernels, if all values have the plain form of a type that Arrow orders as the database does."""
+    kind = r.type.kind
+    if kind not in ("int2", "int4", "int8", "oid", "float8", "decimal", "date", "timestamp", "text") or len(column) == column.null_count:
+        return None
+    typed = fast(r.type, column)
+    if typed is None:
+        return None
+    distinct = pc.unique(column.drop_null())
+    small = len(distinct) <= ENTRIES and (pc.max(pc.binary_length(distinct)).as_py() or 0) <= ENTRY_BYTES
+    ordered = typed.cast(pa.binary()) if kind == "text" else typed
+    edge = pc.min_max(ordered)
+    low, high = (column[pc.index(ordered, edge[k]).as_py()].as_py() for k in ("min", "max"))
+    present = column.drop_null()
+    out = {"name": r.name, "nulls": column.null_count, "value_bytes": pc.sum(pc.binary_length(column)).as_py(), "dictionary": sorted(distinct.to_pylist()) if small else None, "beyond": 0, "refused": 0, "total": None, "total_scale": None, "order": "unsorted"}
+    if kind in values.LIMITS or kind == "decimal":
+        scale = r.type.args[1] if kind == "decimal" else 0
+        total = pc.sum(typed.cast(pa.decimal128(38, scale))).as_py()
+        out |= {"total": int(total.scaleb(scale, values.EXACT)), "total_scale": scale}
+    out["low"], out["low_exact"] = prefix(low) if kind == "text" else (low, True)
+    out["high"], out["high_exact"] = successor(high) if kind == "text" else (high, True)
+    if out["high"] is None:
+        out["low"] = None
+    out |= {"first": prefix(present[0].as_py())[0], "last": prefix(present[-1].as_py())[0]}
+    if not column.null_count:
+        up, down = (len(ordered) < 2 or pc.all(test(ordered[:-1], ordered[1:])).as_py() for test in (pc.less_equal, pc.greater_equal))
+        out["order"] = "constant" if up and down else "ascending" if up else "descending" if down else "unsorted"
+    return out
+
+
 def column_stats(r: Resolved, column: pa.Array) -> dict:
     """Statistics of one column of a group, from its field texts."""
+    quick = plain_stats(r, column)
+    if quick is not None:
+        return quick
     items = column.to_pylist()
     present = [v for v in items if v is not None]
     counts = Counter(present)

@@ -111,3 +111,23 @@ def test_bounds_are_sound():
     assert low <= long < high and not exact and len(high.encode()) <= 257
     assert stats.successor(chr(0x10FFFF) * 100) == (None, False)
     assert stats.wrapped(2**63) == -(2**63) and stats.wrapped(2**32 + 5, 32, False) == 5
+
+
+def test_plain_statistics_are_the_general_ones(monkeypatch):
+    rng = random.Random(7)
+    kinds = {"integer": lambda: str(rng.randrange(-9, 9)), "bigint": lambda: str(rng.randrange(-(2**63), 2**63)), "numeric(8,2)": lambda: f"{rng.randrange(-999, 999) / 100:.2f}", "double precision": lambda: str(rng.randrange(-99, 99) / 4), "date": lambda: f"20{rng.randrange(10, 30)}-0{rng.randrange(1, 10)}-11", "text": lambda: rng.choice("abé") * rng.choice([0, 1, 3, 200])}
+    for declared, make in kinds.items():
+        r = Resolved("c", resolve(declared))
+        for _ in range(40):
+            items = [make() if rng.random() < 0.9 else None for _ in range(rng.randrange(1, 90))]
+            items = sorted(items, key=lambda x: x or "") if rng.random() < 0.3 else items
+            column = pa.array(items, pa.string())
+            quick = stats.plain_stats(r, column)
+            if quick is None:
+                continue
+            with monkeypatch.context() as m:
+                m.setattr(stats, "plain_stats", lambda r, c: None)
+                slow = stats.column_stats(r, column)
+            key = lambda s, k: None if s[k] is None else Bound(Term("c", "is null"), {"c": r}).key(r.type, s[k])
+            assert [quick[k] for k in ("nulls", "value_bytes", "dictionary", "beyond", "refused", "total", "total_scale", "order", "low_exact", "high_exact")] == [slow[k] for k in ("nulls", "value_bytes", "dictionary", "beyond", "refused", "total", "total_scale", "order", "low_exact", "high_exact")]
+            assert key(quick, "low") == key(slow, "low") and key(quick, "high") == key(slow, "high")
