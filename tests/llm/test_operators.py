@@ -373,9 +373,10 @@ def test_line_dedup(spark, monkeypatch):
             lines.append(" ".join(line).upper() if rng.random() < 0.3 else " ".join(line) + "!!")
         docs.append((i, "\n".join([*lines, "", "--"])))
     df = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, n_lines long, key string")
-    got = {r["doc_id"]: r["cleaned"] for r in rows(line_dedup.dedup_lines(df))}
     want = lines_brute(docs)
-    assert got == want
+    for few in (line_dedup.SMALL_BUCKET, 1):  # without leaders and with
+        monkeypatch.setattr(line_dedup, "SMALL_BUCKET", few)
+        assert {r["doc_id"]: r["cleaned"] for r in rows(line_dedup.dedup_lines(df))} == want
     assert any(want[i] != t for i, t in docs)
 
 
