@@ -388,6 +388,21 @@ def test_line_dedup_on_odd_rows(odd):
     assert line_dedup.dedup_lines(empty(odd)).count() == 0
 
 
+def test_line_dedup_links_what_edit_similarity_links(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    docs = []
+    for n in range(240):
+        line = [word() for _ in range(rng.choice([8, 15, 20, 60, 150]))]
+        other = list(line)
+        for at in rng.sample(range(len(line)), max(1, len(line) // 20)):  # under a tenth of the characters
+            other[at] = word() if len(line) > 10 else "zz" + other[at][2:]
+        docs += [(2 * n, " ".join(line)), (2 * n + 1, " ".join(other))]
+    got = {r["doc_id"]: r["n_dropped"] for r in rows(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert sum(got[i] for i in range(0, 480, 2)) == 0
+    assert sum(got[i] for i in range(1, 480, 2)) >= 235
+
+
 # -- licences
 
 def test_licenses(odd, spark):
