@@ -403,6 +403,17 @@ def test_line_dedup_links_what_edit_similarity_links(spark):
     assert sum(got[i] for i in range(1, 480, 2)) >= 235
 
 
+def test_edit_similarity_of_shifted_long_lines(spark):
+    rng = random.Random(22)
+    base = [rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randrange(50)) for _ in range(600)]
+    longer = [*base[:5], *(f"new{i}" for i in range(20)), *base[5:]]
+    pairs = [(" ".join(base), " ".join(longer)), (" ".join(base), " ".join(base[::-1])), ("abcdefghij" * 300, "abcdefghij" * 270), ("abcdefghij" * 300, "abcdefghij" * 269)]
+    assert len(pairs[0][0]) > 3000
+    found = spark.createDataFrame(pairs, "a string, b string")
+    assert [r[0] for r in found.select(line_dedup.like(found["a"], found["b"])).collect()][:2] == [True, False]
+    assert [r[0] for r in found.select(line_dedup.like(found["b"], found["a"])).collect()] == [True, False, False, False]  # 1 - 0.9 is under 0.1
+
+
 # -- licences
 
 def test_licenses(odd, spark):
