@@ -7,7 +7,7 @@ match using up its identifiers.
 
 from __future__ import annotations
 
-from itertools import chain
+from itertools import chain, combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,11 +92,69 @@ def sentences(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), KEEP, " ")), END)
 
 
-def identifiers(text: Column) -> Column:
-    """Array of (position, identifier) of the known sentences of a text."""
-    known = F.create_map(*chain.from_iterable((F.lit(s), F.lit(i)) for i, s in SENTENCES.items()))
-    marked = F.transform(sentences(text), lambda s, at: F.struct(at.alias("position"), F.try_element_at(known, s).alias("sentence")))
-    return F.filter(marked, lambda x: x["sentence"].isNotNull())
+#: Words of known sentences that real texts put a mark before; the sentences above have none.
+BREAKS = {
+    "gpl_free": ("you can redistribute", "either version"), "gpl2_free": ("you can redistribute", "either version"),
+    "gpl_hope": ("without even",), "mpl_copy": ("mozilla.org",),
+}
+
+
+def spellings() -> dict[str, str]:
+    """The identifiers by sentence, "; " where a mark may be within."""
+    found = {}
+    for name, sentence in SENTENCES.items():
+        breaks = BREAKS.get(name, ())
+        for chosen in chain.from_iterable(combinations(breaks, n) for n in range(len(breaks) + 1)):
+            form = sentence.replace(". ", "; ")
+            for words in chosen:
+                form = form.replace(f" {words}", f"; {words}")
+            found[form] = name
+    return found
+
+
+KNOWN = spellings()
+#: How known sentences begin, word by word.
+BEGUN = sorted({" ".join(words[:n]).rstrip(";") for words in (k.split(" ") for k in KNOWN) for n in range(1, len(words))})
+LONGEST = max(len(k.split(" ")) for k in KNOWN)
+
+
+def identified(rows: DataFrame) -> DataFrame:
+    """``rows`` (with a column text) plus found: (position, sentence) of the known sentences.
+
+    Texts are split at marks and line feeds; a known sentence is one part or several in a row that have single
+    line feeds between them, or marks where it has one.  Blank lines end it.  The longest
+    sentence from a part counts, and none that begins within an earlier one.
+    """
+    normal = F.trim(F.regexp_replace(F.lower("text"), KEEP, " "))
+    rows = rows.withColumn("normal", normal).withColumn("parts", F.split("normal", END))
+    some = F.exists("parts", lambda s: s.isin(BEGUN))
+    rows = rows.withColumn("gaps", F.when(some, F.regexp_extract_all("normal", F.lit(END), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    names = F.create_map(*chain.from_iterable((F.lit(s), F.lit(i)) for s, i in KNOWN.items()))
+
+    def name(s: Column) -> Column:
+        return F.when(s.isin(list(KNOWN)), F.try_element_at(names, s))
+
+    def state(text: Column, live: Column, end: Column, sentence: Column) -> Column:
+        return F.struct(text.alias("text"), live.alias("live"), end.alias("end"), sentence.alias("sentence"))
+
+    def longer(a: Column, j: Column) -> Column:
+        gap = F.get("gaps", j - 1)
+        text = F.concat(a["text"], F.when(gap.rlike("[.;:!?]"), F.lit("; ")).otherwise(F.lit(" ")), F.get("parts", j))
+        more = ~gap.rlike(r"\n[^\n]*\n")
+        hit = F.when(more, name(text))
+        live = F.coalesce(more & text.isin(BEGUN), F.lit(False))
+        return F.when(a["live"], state(text, live, F.when(hit.isNotNull(), j).otherwise(a["end"]), F.coalesce(hit, a["sentence"]))).otherwise(a)
+
+    def reach(x: Column) -> Column:
+        last = F.least(F.size("parts") - 1, x["at"] + LONGEST)
+        after = F.when(x["part"].isin(BEGUN) & (last > x["at"]), F.sequence(x["at"] + 1, last)).otherwise(F.array().cast("array<int>"))
+        got = F.aggregate(after, state(x["part"], x["part"].isin(BEGUN), x["at"], name(x["part"])), longer)
+        return F.struct(x["at"].alias("position"), got["sentence"].alias("sentence"), got["end"].alias("end"))
+
+    starts = F.filter(F.transform("parts", lambda s, i: F.struct(i.alias("at"), s.alias("part"))), lambda x: x["part"].isin(BEGUN) | x["part"].isin(list(KNOWN)))
+    rows = rows.withColumn("met", F.filter(F.transform(starts, reach), lambda x: x["sentence"].isNotNull()))
+    inside = lambda x: F.exists("met", lambda y: (y["position"] < x["position"]) & (x["position"] <= y["end"]))
+    return rows.withColumn("found", F.filter("met", lambda x: ~inside(x)))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,10 +162,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     One row per row of ``docs``, without a shuffle: a row's sequence is matched in place.  A text
     without known sentences has empty strings and zeros; null text counts as empty.  Repeated rows give equal results,
-    empty tables empty ones; ids may be null; extra columns are ignored.  Sentences
-    broken over lines are not put together again; those between known sentences don't break a rule.
+    empty tables empty ones; ids may be null; extra columns are ignored.  A position is
+    that of a sentence's first part, text being split at marks and line feeds.  Sentences between known ones don't break a rule.
     """
-    rows = docs.select(F.col(id_col), identifiers(text_or_empty(text_col)).alias("found"))
+    rows = identified(docs.select(F.col(id_col), text_or_empty(text_col).alias("text")))
     rows = rows.select(id_col, "found", F.array_join(F.transform("found", lambda x: F.concat(F.lit("<"), x["sentence"], F.lit(">"))), "").alias("rest"))
     names, counts = [], []
     rest = F.col("rest")

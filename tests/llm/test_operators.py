@@ -427,6 +427,36 @@ def test_licenses(odd, spark):
     assert licenses.scan_licenses(empty(odd)).count() == 0
 
 
+def test_licenses_wrapped_over_lines(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+    bsd = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:"""
+    gpl = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+    gpl2 = gpl.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2")
+    mpl = """# This Source Code Form is subject to the terms of the Mozilla Public
+# License, v. 2.0. If a copy of the MPL was not distributed with this
+# file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+    texts = [mit, bsd, gpl, gpl2, mpl, "x\nReleased under the\n\nMIT license terms", "x\nMIT License\ny", mit.replace("\n", "\r\n")]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["licenses"], r["n_sentences"]) for r in got] == [("MIT", 2), ("BSD", 1), ("GPL-3.0-or-later", 3), ("GPL-2.0-or-later", 3), ("MPL-2.0", 2), ("", 0), ("MIT", 1), ("MIT", 2)]
+
+
 # -- pieces
 
 def test_pieces_are_the_librarys():
