@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_fold
-from .toxicity import read_examples
+from .toxicity import collect_features, read_examples
 
 BUCKETS = 2048
 RANK = 6
@@ -129,8 +129,9 @@ def fit(examples: list[tuple[int, tuple[list[int], list[float]]]], share: float,
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most: int = EXAMPLES) -> Machine:
     """Fit on a bounded choice of labelled rows outside the held-out fold; features are made on the executors."""
-    examples, share = read_examples(docs, labels, "quality", id_fold("doc_id", folds) != held_out, {1: most, 0: most}, features, "f0 array<int>, f1 array<float>")
-    return fit([(y, (list(f[0]), list(f[1]))) for y, f in examples], min(max(share, 0.01), 0.99))
+    examples, share = read_examples(docs, labels, "quality", id_fold("doc_id", folds) != held_out, {1: most, 0: most})
+    found = collect_features(examples, features, [pa.list_(pa.int32()), pa.list_(pa.float32())])
+    return fit([(y, (list(f[0]), list(f[1]))) for y, f in found], min(max(share, 0.01), 0.99))
 
 
 def score_quality(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,8 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, without_ids
+from .common import SIGNATURE, cut, keep_one, signature
 from .components import components
 
 BITS = 64
@@ -43,16 +44,18 @@ def fingerprint(raw: bytes, width: int) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp long): the SimHash of each whole text; null counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, *more) -> DataFrame:
+    """(id, fp long, more): the SimHash of each whole text; null counts as empty."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py() or b"", width) for t in texts], pa.int64())], names=["id", "fp"])
+            prints = pa.array([fingerprint(t.as_py() or b"", width) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints, *batch.columns[2:]], names=["id", "fp", *batch.schema.names[2:]])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *more)
+    fields = rows.schema.fields
+    return rows.mapInArrow(run, StructType([fields[0], StructField("fp", LongType()), *fields[2:]]))
 
 
 class Forest:
@@ -210,6 +213,12 @@ def links(codes: DataFrame, budget: int = 4) -> DataFrame:
     return dealt.select("fp", "bucket").repartition(parts, "bucket").mapInArrow(run, "u long, v long")
 
 
+def linked(codes: DataFrame, budget: int) -> DataFrame:
+    """(fp, part): the least linked fingerprint of each of the distinct ``codes``."""
+    parts = components(links(codes.select("fp"), budget))
+    return codes.join(parts, F.col("fp") == F.col("node"), "left").select(*codes.columns, F.coalesce("component", "fp").alias("part"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4) -> DataFrame:
     """One row per row of ``docs``: id, fp (long), component_id, the least id reachable over links of ``budget`` bits.
 
@@ -220,9 +229,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     marked = cut(fingerprints(docs, id_col, text_col, width))
     codes = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    parts = components(links(codes.select("fp"), budget))
-    part = F.coalesce("component", "fp").alias("part")
-    joined = codes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", part)
+    joined = linked(codes, budget)
     # cut, so that the join has an exchange of its own on either side and can split a hot component
     least = cut(joined.groupBy("part").agg(F.min("least").alias("component_id")))
     by_code = joined.join(least, "part").select("fp", "component_id")
@@ -230,7 +237,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4) -> DataFrame:
-    """``docs`` with one document, the one with the least id, of each linked component."""
-    found = near_groups(docs, id_col, text_col, width, budget)
-    losers = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return without_ids(docs, cut(losers), id_col)
+    """``docs`` with one document, the one with the least id, of each linked component (see ``near_groups``).
+
+    Rows are judged one by one, not by id: null ids come last, then the hash of the text decides; of rows that
+    repeat both id and text any one stays.  Rows that are linked to nothing stay though
+    they share an id with one that goes, or have none.  Null text counts as empty.  All
+    columns pass through; an empty table stays one.
+    """
+    marked = cut(fingerprints(docs, id_col, text_col, width, *signature(id_col, text_col)[1:]).withColumnRenamed("id", "__i"))
+    codes = cut(marked.select("fp").distinct())
+    grouped = cut(linked(codes, budget))
+    return keep_one(docs, marked.join(grouped, "fp").select("part", *SIGNATURE), "part", [], id_col, text_col)

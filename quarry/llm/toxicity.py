@@ -6,23 +6,30 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructField, StructType
 
-from .common import id_fold
+from .common import cut, id_fold
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the stems of a word: insults of a language share stems, some of which harmless words share too.
 SHORTEST, LONGEST = 4, 9
 #: Chi-square of a stem with the label over the examples, from which it is a term of the index.
 CHI_SQUARE = 24.0
+#: Fewer examples make no term.
+RARE = 5
 BLOCK = 64
 NEIGHBOURS = 15
 #: Labelled rows of each class that are read as examples, at most: the bound of the index.
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 1000, 3000
+#: Tasks that the bounded examples are dealt to.
+EXAMPLE_TASKS = 24
 
 
 def stems(text: str, known: dict | None = None) -> Counter:
@@ -93,11 +100,23 @@ class ToxicIndex:
         return 1.0 / (1.0 + math.exp(-z)) if z > -700 else 0.0
 
 
+def chi_square(both: int, seen: int, toxic: int, total: int) -> float:
+    """Of a stem in ``seen`` of ``total`` examples, ``both`` of them among the ``toxic`` ones."""
+    spread = seen * (total - seen) * toxic * (total - toxic)
+    return (both - seen * toxic / total) ** 2 * total**3 / spread if spread else 0.0
+
+
+def choose(seen: dict[str, tuple[int, int]], toxic: int, total: int) -> dict[str, int]:
+    """The terms of the index, with the number of examples that have them; ``seen``: (all, toxic ones) by stem."""
+    return {t: m for t, (m, a) in sorted(seen.items()) if m >= RARE and chi_square(a, m, toxic, total) >= CHI_SQUARE}
+
+
 def fit(examples: list[tuple[int, dict[str, int]]], prior: float) -> ToxicIndex:
     """Index (label, stem counts) examples; prior: share of label 1 among all labelled rows.
 
-    Terms are the stems whose presence goes with the label (chi-square).  The vote is
-    calibrated by a logistic curve fitted to leave-one-out votes, classes weighed by the prior.
+    Terms are the stems whose presence goes with the label (chi-square); counts of the stems that ``choose``
+    would refuse may be left out.  The vote is calibrated by a logistic curve fitted to leave-one-out votes,
+    classes weighed by the prior.
     """
     n, pos = len(examples), sum(y for y, _ in examples)
     seen, toxic = Counter(), Counter()
@@ -105,15 +124,8 @@ def fit(examples: list[tuple[int, dict[str, int]]], prior: float) -> ToxicIndex:
         seen.update(counts.keys())
         if y:
             toxic.update(counts.keys())
-
-    def chi(term: str) -> float:
-        a, m = toxic[term], seen[term]
-        expected = m * pos / n
-        spread = m * (n - m) * pos * (n - pos)
-        return (a - expected) ** 2 * n**3 / spread if spread else 0.0
-
-    terms = sorted(t for t, m in seen.items() if m >= 5 and chi(t) >= CHI_SQUARE)
-    index = ToxicIndex({t: math.log((n + 1) / (seen[t] + 1)) + 0.01 for t in terms}, {}, np.array([y for y, _ in examples], np.int8), prior=prior)
+    terms = choose({t: (m, toxic[t]) for t, m in seen.items()}, pos, n)
+    index = ToxicIndex({t: math.log((n + 1) / (m + 1)) + 0.01 for t, m in terms.items()}, {}, np.array([y for y, _ in examples], np.int8), prior=prior)
     # like examples side by side, so that blocks have sharp bounds
     vectors = [index.vector(c) for _, c in examples]
     order = sorted(range(n), key=lambda i: (examples[i][0], max(vectors[i], key=lambda t: (vectors[i][t], t), default=""), i))
@@ -140,45 +152,74 @@ def fit(examples: list[tuple[int, dict[str, int]]], prior: float) -> ToxicIndex:
     return index
 
 
-def read_examples(docs: DataFrame, labels: DataFrame, label: str, train, most: dict[int, int], make, schema: str):
-    """[(label, made features)] of a bounded choice of labelled rows, and the label's share.
+def read_examples(docs: DataFrame, labels: DataFrame, label: str, train, most: dict[int, int]) -> tuple[DataFrame, float]:
+    """(id, y, text) of a bounded choice of labelled documents, cut, and the label's share.
 
-    ``train``: a condition on doc_id.  Of each class the ``most[class]`` rows with the
-    smallest id hashes are read; ``make`` runs on the executors, so that the driver gets features only.
-    An id labelled twice counts as 1 if any row says so; null ids and labels teach nothing.
+    ``train``: a condition on doc_id.  Of each class the ``most[class]`` ids with the
+    smallest hashes are read.  An id is one example: of several texts the least, labelled 1 if any
+    row says so.  Null ids and labels teach nothing.  Ids may be of any type that both tables share.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train).groupBy("doc_id").agg(F.max(label).alias("y"))
     tally = {int(r.y): r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen: dict[int, int] = {}
-    for y, limit in most.items():
-        chosen |= {r.doc_id: y for r in known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id").collect()}
-    if not chosen:
-        return [], 0.5
-    rows = docs.where(F.col("doc_id").isin(list(chosen))).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    classes = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for y, limit in most.items()]
+    chosen = cut(reduce(DataFrame.union, classes).select(F.col("doc_id").alias("id"), F.col("y").cast("int").alias("y")))
+    # the choice is bounded, so it is broadcast; an id that is there often is reduced before the exchange
+    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["id"]).groupBy("id", "y").agg(F.min(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("text"))
+    return cut(rows.repartition(EXAMPLE_TASKS, "id")), tally.get(1, 0) / max(1, sum(tally.values()))
+
+
+def collect_features(examples: DataFrame, make, kinds: list) -> list[tuple[int, tuple]]:
+    """[(label, features)] in the order of ids; ``make`` gives the ``kinds`` of Arrow arrays of a text, on the executors."""
+    names = [f"f{i}" for i in range(len(kinds))]
 
     def run(batches):
         for batch in batches:
-            made = [make(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([m[i] for m in made], t) for i, t in enumerate(MADE[schema]))], names=["doc_id", *[f"f{i}" for i in range(len(MADE[schema]))]])
+            made = [make(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))], names=["id", "y", *names])
 
-    got = sorted(rows.mapInArrow(run, f"doc_id long, {schema}").collect(), key=lambda r: (r.doc_id, str(r[1:])))
-    share = tally.get(1, 0) / max(1, sum(tally.values()))
-    return [(chosen[r.doc_id], r[1:]) for r in got], share
+    schema = StructType([*examples.schema.fields[:2], *(StructField(n, from_arrow_type(k)) for n, k in zip(names, kinds))])
+    return [(r.y, tuple(r[n] for n in names)) for r in sorted(examples.mapInArrow(run, schema).collect(), key=lambda r: r.id)]
 
 
-MADE = {
-    "f0 array<string>, f1 array<int>": [pa.list_(pa.string()), pa.list_(pa.int32())],
-    "f0 array<int>, f1 array<float>": [pa.list_(pa.int32()), pa.list_(pa.float32())],
-}
+def count_stems(examples: DataFrame) -> dict[str, tuple[int, int]]:
+    """(examples, toxic examples) of every stem that ``RARE`` examples have; counted per batch before the exchange."""
+
+    def run(batches):
+        for batch in batches:
+            seen, toxic = Counter(), Counter()
+            for y, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                found = stems(text).keys()
+                seen.update(found)
+                if y:
+                    toxic.update(found)
+            words = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64()), pa.array([toxic[w] for w in words], pa.int64())], names=["stem", "seen", "toxic"])
+
+    total, pos = examples.agg(F.count(F.lit(1)), F.sum("y")).first()
+    counts = examples.mapInArrow(run, "stem string, seen long, toxic long").groupBy("stem").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+    n, p, m, a = F.lit(float(total)), F.lit(float(pos or 0)), F.col("seen"), F.col("toxic")
+    # as in chi_square, a little wider: the driver decides
+    near = F.pow(a - m * p / n, 2) * F.pow(n, 3) >= F.lit(0.99 * CHI_SQUARE) * m * (n - m) * p * (n - p)
+    return {r.stem: (r.seen, r.toxic) for r in counts.where((m >= RARE) & near).collect()}
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, toxic: int = TOXIC_EXAMPLES, clean: int = CLEAN_EXAMPLES) -> ToxicIndex:
+    """The index of bounded labelled examples outside the held-out fold.
+
+    Stems are counted and terms chosen over the executors; the driver gets the examples' vectors of chosen terms only.
+    """
+    examples, share = read_examples(docs, labels, "toxic", id_fold("doc_id", folds) != held_out, {1: toxic, 0: clean})
+    total, pos = examples.agg(F.count(F.lit(1)), F.sum("y")).first()
+    if not total:
+        return ToxicIndex({}, {}, np.zeros(0, np.int8))
+    terms = choose(count_stems(examples), pos, total)
+
     def make(text: str):
-        counts = stems(text)
+        counts = stems(text, terms)
         return list(counts), list(counts.values())
 
-    examples, share = read_examples(docs, labels, "toxic", id_fold("doc_id", folds) != held_out, {1: toxic, 0: clean}, make, "f0 array<string>, f1 array<int>")
-    return fit([(y, dict(zip(*f))) for y, f in examples], min(max(share, 0.01), 0.99)) if examples else ToxicIndex({}, {}, np.zeros(0, np.int8))
+    found = collect_features(examples, make, [pa.list_(pa.string()), pa.list_(pa.int32())])
+    return fit([(y, dict(zip(*f))) for y, f in found], min(max(share, 0.01), 0.99))
 
 
 def score_toxicity(docs: DataFrame, index: ToxicIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,7 +247,11 @@ def score_toxicity(docs: DataFrame, index: ToxicIndex, id_col: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, index: ToxicIndex, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` less the rows that score ``threshold`` or more, in one pass and without moving a text."""
+    """``docs`` less the rows that score ``threshold`` or more, in one pass and without moving a text.
+
+    Rows are judged by their whole text alone: null and empty texts, having no neighbours, get the calibrated prior, repeated rows
+    share one verdict, ids may be null or repeated.  All columns pass through; an empty table stays one.
+    """
     shared, names = docs.sparkSession.sparkContext.broadcast(index), docs.columns
 
     def run(batches):

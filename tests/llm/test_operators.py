@@ -72,11 +72,72 @@ def test_exact_groups(odd, monkeypatch):
     assert exact_dedup.exact_groups(empty(odd), digest=True).count() == 0
 
 
-def test_drop_exact_leaves_one_of_each(odd):
-    out = exact_dedup.drop_exact(odd.where("doc_id IS NOT NULL"))
-    assert out.columns == odd.columns
-    left = [(t or "").translate(BLANKS) for _, t in plain(out)]
-    assert len(left) == len(set(left)) == len({(t or "").translate(BLANKS) for i, t in plain(odd) if i is not None})
+PROBES = [
+    [(None, "alpha"), (None, "beta"), (None, "gamma")],
+    [(7, "a"), (7, "a"), (7, "b")],
+    [(3, "a"), (7, "a"), (7, "b")],
+    [(None, "a b"), (None, "ab"), (5, "a  b"), (5, "x"), (None, None), (9, " "), (9, "")],
+    [],
+]
+
+
+def keep_brute(docs, group, better):
+    """By brute force: (id, text) rows that stay, one of each group; ``better`` orders rows before their ids."""
+    best = {}
+    for i, t in docs:
+        key = (better(t), i is None, i or 0)
+        g = group(t)
+        if g not in best or key < best[g]:
+            best[g] = key
+    return sorted((str(best[g][2] if not best[g][1] else None), str(g)) for g in best)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_drop_exact_leaves_one_row_of_each(spark, odd, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(exact_dedup, "bounded", lambda df: False)
+        monkeypatch.setattr(exact_dedup.keep_one.__globals__["F"], "broadcast", lambda df: df)
+
+    def squeeze(t):
+        return (t or "").translate(BLANKS)
+
+    for docs in [plain(odd), *PROBES]:
+        df = odd if docs == plain(odd) else spark.createDataFrame(docs, "doc_id long, text string")
+        out = exact_dedup.drop_exact(df)
+        assert out.columns == df.columns
+        got = plain(out)
+        assert sorted((str(i), squeeze(t)) for i, t in got) == keep_brute(docs, squeeze, lambda t: -len(t or ""))
+        assert not Counter(map(str, got)) - Counter(map(str, docs))
+
+
+def test_drop_near_leaves_one_row_of_each(spark, odd):
+    for docs in [plain(odd), *PROBES]:
+        df = odd if docs == plain(odd) else spark.createDataFrame(docs, "doc_id long, text string")
+        out = simhash.drop_near(df)
+        assert out.columns == df.columns
+        prints = [fingerprint_brute(t) for _, t in docs]
+        roots = list(range(len(docs)))
+        for _ in docs:
+            for a, b in itertools.combinations(range(len(docs)), 2):
+                if bin(prints[a] ^ prints[b]).count("1") <= 4:
+                    roots[a] = roots[b] = min(roots[a], roots[b])
+        of = {t: roots[k] for k, (_, t) in enumerate(docs)}
+        got = plain(out)
+        assert sorted((str(i), str(of[t])) for i, t in got) == keep_brute(docs, lambda t: of[t], lambda t: 0)
+
+
+def test_ids_of_any_type_and_bounds_in_bytes(spark):
+    from quarry.llm import common
+
+    wide = spark.createDataFrame([(f"id{i}" * 10, [i] * 5) for i in range(50)], "a string, b array<int>")
+    assert common.bounded(wide) and not common.bounded(wide, 49)
+    old, common.BROADCAST_BYTES = common.BROADCAST_BYTES, 1000
+    try:
+        assert not common.bounded(wide) and common.bounded(wide.select(F.size("b").alias("b")))
+    finally:
+        common.BROADCAST_BYTES = old
+    docs = spark.createDataFrame([("a", "one two"), ("b", "one  two"), (None, "one two"), ("c", "x")], "doc_id string, text string")
+    assert sorted(plain(exact_dedup.drop_exact(docs))) == [("b", "one  two"), ("c", "x")]
 
 
 # -- SimHash
@@ -112,7 +173,7 @@ def groups_brute(docs, budget=4):
 
 def test_near_groups(odd):
     got = rows(simhash.near_groups(odd))
-    assert sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got), key=str) == groups_brute([(i, t[:20_000] if t and len(t) > 9**9 else t) for i, t in plain(odd)])
+    assert sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got), key=str) == groups_brute(plain(odd))
     assert simhash.near_groups(empty(odd)).count() == 0
 
 
@@ -210,6 +271,59 @@ def test_toxicity_on_odd_rows(odd):
     assert toxicity.drop_toxic(odd, toxicity.ToxicIndex({}, {}, np.zeros(0, np.int8), prior=0.1)).count() == odd.count()
 
 
+def test_training_takes_ids_of_any_type_and_repeated_ones(spark):
+    rng = random.Random(13)
+    docs = [(f"d{i}", " ".join(rng.choices(["plain", "words", "here", "about", "things"], k=20)) + (" vileword hatred" if i % 4 == 0 else "")) for i in range(400)]
+    df = spark.createDataFrame([*docs, *docs[:40], *[docs[4]] * 300, (None, "vileword")], "doc_id string, text string")
+    labels = spark.createDataFrame([(i, int(n % 4 == 0), n % 2) for n, (i, _) in enumerate(docs)] + [(None, 1, 1), ("d1", None, None)], "doc_id string, toxic int, quality int")
+    index = toxicity.train(df, labels)
+    trained = {i for i, _ in docs if zlib.crc32(i.encode()) % 5}
+    assert len(index.labels) == len(trained) and index.labels.sum() == sum(int(i[1:]) % 4 == 0 for i in trained)
+    assert {"vile", "hatr"} <= set(index.idf) and "plai" not in index.idf
+    whole = toxicity.fit([(int(int(i[1:]) % 4 == 0), dict(toxicity.stems(t))) for i, t in sorted(docs) if i in trained], index.prior)
+    assert whole.idf == index.idf and whole.slope == pytest.approx(index.slope) and (whole.labels == index.labels).all()
+    got = rows(toxicity.score_toxicity(df, index))
+    assert all(r["predicted"] == int("vileword" in dict(docs)[r["doc_id"]]) for r in got if r["doc_id"])
+    assert {(r["doc_id"], r["text"]) for r in rows(toxicity.drop_toxic(df, index))} == {(i, t) for i, t in docs if "vileword" not in t}
+    machine = quality_model.train(df, labels)
+    assert quality_model.score_quality(df, machine).count() == df.count()
+    assert not toxicity.train(df.limit(0), labels).idf and not toxicity.train(df, labels.limit(0)).idf
+
+
+def test_vote_and_calibration_by_brute_force():
+    rng = random.Random(14)
+    examples = [(int(i % 3 == 0), dict(Counter(rng.choices(["aaaa", "bbbb", "cccc", "dddd"] + ["evil"] * (2 if i % 3 == 0 else 0), k=6)))) for i in range(200)]
+    index = toxicity.fit(examples, 0.3)
+    flat = {}
+    for term, blocks in index.postings.items():
+        for block, _, who, weights in blocks:
+            for i, w in zip(who, weights):
+                flat.setdefault(block * toxicity.BLOCK + int(i), {})[term] = w
+    for _, counts in examples[:50]:
+        q = index.vector(counts)
+        near = sorted(((round(sum(q.get(t, 0) * w for t, w in v.items()), 9), i) for i, v in flat.items()), key=lambda p: (-p[0], p[1]))
+        near = [p for p in near if p[0] > 0][: toxicity.NEIGHBOURS]
+        if near:
+            floor = 0.05 * (toxicity.NEIGHBOURS - len(near)) / toxicity.NEIGHBOURS
+            share = (sum(s**4 for s, i in near if index.labels[i]) + floor * 0.3) / (sum(s**4 for s, _ in near) + floor)
+            share = min(max(share, 1e-6), 1 - 1e-6)
+            want = 1 / (1 + ((1 - share) / share) ** index.slope * 2.718281828459045**-index.offset)
+        else:
+            want = index.score([])
+        assert index.score(index.search(q, toxicity.NEIGHBOURS)) == pytest.approx(want)
+    # the logistic curve of leave-one-out votes is at its optimum: no small step lowers the penalised loss
+    votes = np.clip([index.vote(index.search(v, toxicity.NEIGHBOURS, skip=i)) for i, v in ((i, flat.get(i, {})) for i in range(200))], 1e-6, 1 - 1e-6)
+    x, y = np.log(votes / (1 - votes)), index.labels.astype(float)
+    weight = np.where(y == 1, 0.3 / y.sum(), 0.7 / (1 - y).sum()) * 200
+
+    def loss(a, b):
+        z = a * x + b
+        return float((weight * (np.log1p(np.exp(z)) - y * z)).sum()) + 0.5e-2 * ((a - 1) ** 2 + b**2)
+
+    here = loss(index.slope, index.offset)
+    assert all(loss(index.slope + da, index.offset + db) >= here - 1e-6 for da, db in ((0.02, 0), (-0.02, 0), (0, 0.02), (0, -0.02)))
+
+
 def held_out_accuracy(spark, name, label, folds, held):
     from quarry.llm.queries import queries
 
