@@ -426,54 +426,46 @@ def test_lines_that_fail_go():
 
 # -- lines
 
+def edit_distance(a, b):
+    row = np.arange(len(b) + 1)
+    codes = np.array([ord(c) for c in b])
+    for i, x in enumerate(a, 1):
+        new = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(x)))
+        new = np.concatenate([[i], new])
+        # insertions: the least of what stands to the left plus the way
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return int(row[-1])
+
+
 def lines_brute(docs):
-    """By all pairs of lines: the kept text of each document."""
+    """By all pairs of lines and their edit similarity alone: the kept text of each document, and the linked pairs."""
     import re
 
-    def pair_hash(a, b):
-        """Spark's hash of two texts: that of the second, seeded with that of the first; a null changes nothing."""
-        first = xxhash.xxh64_intdigest(a.encode(), 42)
-        return first if b is None else xxhash.xxh64_intdigest(b.encode(), first)
-
     def norm(line):
-        return "".join(c if c.isalpha() or c.isnumeric() else " " for c in line.lower())
+        return re.sub(" +", " ", "".join(c if c.isalpha() or c.isnumeric() else " " for c in line.lower())).strip(" ")
 
-    found, sims = [], {}
-    for i, t in docs:
-        for k, line in enumerate((t or "").split("\n")):
-            words = re.sub(" +", " ", norm(line)).strip(" ")
-            if words:
-                found.append((i, k, words))
-                if words not in sims:
-                    parts = words.split(" ")
-                    hashes = [pair_hash(a, b) for a, b in zip(parts, [*parts[1:], None])]
-                    sims[words] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-    part = {w: w for w in sims}
+    found = [(i, k, norm(line)) for i, t in docs for k, line in enumerate((t or "").split("\n")) if norm(line)]
+    part = {w: w for _, _, w in found}
 
     def root(w):
         while part[w] != w:
             w = part[w]
         return w
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, last = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
-        return row[-1]
-
-    for a, b in itertools.combinations(sims, 2):
-        if bin(sims[a] ^ sims[b]).count("1") <= line_dedup.BUDGET and distance(a, b) <= (1 - line_dedup.SIMILARITY) * max(len(a), len(b)):
+    links = []
+    for a, b in itertools.combinations(part, 2):
+        most = int((1 - line_dedup.SIMILARITY) * max(len(a), len(b)))
+        if abs(len(a) - len(b)) <= most and sum(((Counter(a) - Counter(b)) | (Counter(b) - Counter(a))).values()) <= 2 * most and edit_distance(a, b) <= most:
+            links.append((a, b))
             part[root(a)] = root(b)
     first = {}
     for i, k, w in sorted(found):
         first.setdefault(root(w), (i, k))
     gone = {(i, k) for i, k, w in found if first[root(w)] != (i, k)}
-    return {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if (i, k) not in gone) for i, t in docs}
+    return {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if (i, k) not in gone) for i, t in docs}, links
 
 
-def test_line_dedup(spark, monkeypatch):
+def test_line_dedup(spark):
     rng = random.Random(9)
     vocabulary = [f"word{i}" for i in range(300)]
     base = [[rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 40, 120]))] for _ in range(30)]
@@ -487,18 +479,86 @@ def test_line_dedup(spark, monkeypatch):
             lines.append(" ".join(line).upper() if rng.random() < 0.3 else " ".join(line) + "!!")
         docs.append((i, "\n".join([*lines, "", "--"])))
     df = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, n_lines long, key string")
-    want = lines_brute(docs)
-    for few in (line_dedup.SMALL_BUCKET, 1):  # without leaders and with
-        monkeypatch.setattr(line_dedup, "SMALL_BUCKET", few)
-        assert {r["doc_id"]: r["cleaned"] for r in rows(line_dedup.dedup_lines(df))} == want
+    want, _ = lines_brute(docs)
+    got = rows(line_dedup.dedup_lines(df))
+    assert {r["doc_id"]: r["cleaned"] for r in got} == want
+    assert all(r["n_lines"] == len(t.split("\n")) and r["n_dropped"] == r["n_lines"] - len(want[r["doc_id"]].split("\n")) for r, (_, t) in zip(sorted(got, key=lambda r: r["doc_id"]), docs) if want[r["doc_id"]])
     assert any(want[i] != t for i, t in docs)
 
 
+def test_line_dedup_recall_against_all_pairs(spark):
+    """Links of edit similarity 0.9 alone, over lines of 5 to 100 words and some of thousands of characters."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=rng.randrange(3, 9)))
+    vocabulary = [word() for _ in range(2000)]
+    lines = []
+    for n in range(150):
+        line = [rng.choice(vocabulary) for _ in range(rng.choice([5, 8, 12, 25, 50, 100] + [400] * (n % 10 == 0)))]
+        text = " ".join(line)
+        other = list(text)
+        if n % 3 == 0:  # single characters
+            for at in rng.sample(range(len(other)), 1 + len(other) // 100):
+                other[at] = rng.choice("abcdefghij")
+            other = "".join(other)
+        else:  # words replaced, put in or left out
+            words = list(line)
+            for _ in range(max(1, len(words) // 25)):
+                at = rng.randrange(len(words))
+                words[at : at + 1] = rng.choice([[rng.choice(vocabulary)], [words[at], rng.choice(vocabulary)], []])
+            other = " ".join(words)
+        lines += [text, other]
+    docs = list(enumerate(lines))
+    _, links = lines_brute(docs)
+    got = {r["doc_id"]: r["n_dropped"] for r in rows(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")))}
+    linked = {b for _, b in links}
+    found = sum(got[i] for i, t in docs if t in linked and i % 2)
+    assert len(links) > 100 and found >= 0.9 * len(linked)
+    assert all(not got[i] for i, t in docs if t not in linked)
+
+
+def test_one_common_line_and_crowded_buckets(spark, monkeypatch):
+    """A line that a third of all rows have, and lines that share most of their words without being alike."""
+    rng = random.Random(24)
+    shared = " ".join(f"common{i}" for i in range(30))
+    docs = [(i, "the one common line of this table") for i in range(100)]
+    docs += [(100 + i, shared + " " + " ".join(f"own{rng.randrange(10**6)}" for _ in range(12))) for i in range(60)]
+    docs += [(200 + i, docs[100 + i][1].replace("common7 ", "common8 ")) for i in range(20)]
+    got = {r["doc_id"]: r["n_dropped"] for r in rows(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert got == {i: int(0 < i < 100 or i >= 200) for i, _ in docs}
+
+
+def test_texts_of_one_id_lose_their_own_lines(spark):
+    docs = [(1, "alpha line\nbeta line"), (1, "gamma line\ndelta line"), (2, "delta line"), (None, "beta line"), (2, "delta line"), (None, None)]
+    got = {(r["doc_id"], r["text"]): r["cleaned"] for r in rows(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert got == {(1, docs[0][1]): docs[0][1], (1, docs[1][1]): docs[1][1], (2, "delta line"): "", (None, "beta line"): "", (None, None): ""}
+
+
+def test_anchored_sum_is_no_less_than_the_distance(spark):
+    rng = random.Random(25)
+    pairs = []
+    for _ in range(60):
+        a = "".join(rng.choices("abcd ", k=rng.randrange(200, 900)))
+        b = list(a)
+        for _ in range(rng.randrange(40)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(3)] = rng.choices("abcd ", k=rng.randrange(3))
+        pairs.append((a, "".join(b)))
+    found = spark.createDataFrame(pairs, "a string, b string")
+    got = found.select("a", "b", line_dedup.anchored(found["a"], found["b"], F.lit(10**6)).alias("bound"), line_dedup.like(found["a"], found["b"]).alias("like")).collect()
+    for r in got:
+        d = edit_distance(r["a"], r["b"])
+        assert r["bound"] >= d and r["like"] == (d <= int((1 - line_dedup.SIMILARITY) * max(len(r["a"]), len(r["b"]))))
+
+
 def test_line_dedup_on_odd_rows(odd):
     got = rows(line_dedup.dedup_lines(odd))
     assert len(got) == odd.count()
     by_id = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
     assert by_id[3]["n_dropped"] == 0 and by_id[4]["cleaned"] == "" and by_id[0]["cleaned"] == "" and by_id[7]["n_dropped"] == 1
+    want = lines_brute([(i, t) for i, t in dict(plain(odd)).items() if i is not None and len(t or "") < 10_000])[0]
+    assert {i: r["cleaned"] for i, r in by_id.items() if len(r["text"] or "") < 10_000} == want
+    assert sorted(by_id[i]["n_dropped"] for i in (8, 9, 10)) == [0, 1, 1]
+    assert [r["n_dropped"] for r in got if r["doc_id"] is None] and all(r["cleaned"] == "" for r in got if r["doc_id"] is None)
     assert line_dedup.dedup_lines(empty(odd)).count() == 0
 
 
