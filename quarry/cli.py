@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from .functions import tables
 from .operators import info
 from .operators.dump import Dump, register_dump
-from .operators.render import rendered, show
+from .operators.render import rendered, shown
 from .plans import dialect
 
 
@@ -75,7 +75,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         identity = modes.pop("identity", "advisory")
         register_dump(spark, name or f"dump{n or ''}", location, identity=tuple(identity.split(",")), **modes)
     for text in args.command_text:
-        print(show(dialect.sql(spark, text), args.format).rstrip("\n"), file=out)
+        for lines in shown(dialect.sql(spark, text), args.format):  # every row, whatever their number
+            print(lines, file=out)
     return 0
 
 

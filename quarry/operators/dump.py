@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import os
 import pickle
+import shutil
+import uuid
 import warnings
 from dataclasses import replace
 
@@ -25,11 +28,22 @@ from ..sources.dumpmap import CopyBlock, DumpMap, lines, scan_structure
 from ..sources.rows import Segment, cut_block
 from .scan import SEGMENT, ScanSpec, scan
 
-FORMAT = 1
+FORMAT = 2
 #: Identity terms: those that must hold for a saved map to be used; the rest only warn.
 TERMS = ("time", "location")
 
 
+class MapReader(pickle.Unpickler):
+    """Reads a kept map: the library's own classes and plain containers, and nothing that could run code."""
+
+    def find_class(self, module, name):
+        if module.startswith(("quarry.sources.", "quarry.functions.")) or (module, name) in (("builtins", "set"), ("builtins", "frozenset"), ("collections", "OrderedDict"), ("collections", "defaultdict")):
+            found = super().find_class(module, name)
+            if isinstance(found, type):
+                return found
+        raise pickle.UnpicklingError(f"a kept map holds no {module}.{name}")
+
+
 class Dump:
     """A mapped dump.
 
@@ -44,9 +58,11 @@ class Dump:
             raise DumpError(f"identity terms {self.identity_terms}")
         self.source = open_source(location, spool_to)
         self.notes: list[str] = []
-        self.map = self._load() or scan_structure(location, self.source, spark)
-        if sidecar:
-            self._save()
+        self.map = self._load()
+        if self.map is None:
+            self.map = scan_structure(location, self.source, spark)
+            if sidecar:
+                self._save()
         self._stats: dict[int, DataFrame] = {}
 
     # -- the kept map
@@ -70,17 +86,22 @@ class Dump:
             raise SourceChanged(f"the saved map is of another {' and '.join(bound)}")
         if differ and self.identity_terms == ("advisory",):
             warnings.warn(f"the saved map is of another {' and '.join(differ)}", stacklevel=3)
-        found = pickle.loads(raw)
+        found = MapReader(io.BytesIO(raw)).load()
         found.source, found.identity = self.source, now
         return found
 
     def _save(self) -> None:
         os.makedirs(self.sidecar, exist_ok=True)
+        held = self.map.source
+        self.map.source = None  # opened anew by who reads the map
         raw = pickle.dumps(self.map)
-        with open(os.path.join(self.sidecar, "map.pickle"), "wb") as f:
-            f.write(raw)
-        with open(os.path.join(self.sidecar, "map.json"), "w") as f:
-            json.dump({"format": FORMAT, "identity": self.map.identity, "sha256": hashlib.sha256(raw).hexdigest()}, f)
+        self.map.source = held
+        meta = json.dumps({"format": FORMAT, "identity": self.map.identity, "sha256": hashlib.sha256(raw).hexdigest()})
+        for name, data in (("map.pickle", raw), ("map.json", meta.encode())):  # whole files take the place of old ones
+            part = os.path.join(self.sidecar, f".{name}.{uuid.uuid4().hex}")
+            with open(part, "wb") as f:
+                f.write(data)
+            os.replace(part, os.path.join(self.sidecar, name))
 
     # -- tables
 
@@ -194,8 +215,40 @@ class DumpTable:
         if not arrays:
             return {}
         self.columns = [resolve_column(declared[n], n, self.db) for n in arrays]
-        found = self._gather(arrays).groupBy("name").agg(F.min("dims_low").alias("low"), F.max("dims_high").alias("high")).collect()
-        return {r.name: (r.low or 1, r.high or 1) for r in found}
+        held = self._kept_census()
+        if set(arrays) <= set(held):
+            return {n: tuple(held[n]) for n in arrays}
+        if self.dump.spark is not None:
+            found = self._gather(arrays).groupBy("name").agg(F.min("dims_low").alias("low"), F.max("dims_high").alias("high")).collect()
+            found = {r.name: (r.low or 1, r.high or 1) for r in found}
+        else:  # in a planner's process, which has no session
+            columns = {b.number: self.columns for b in self.blocks}
+            rows = [r for item in self._work() for r in stats.group_rows(self.dump.source, item, columns)]
+            found = {n: (min((r["dims_low"] for r in rows if r["name"] == n and r["dims_low"]), default=1), max((r["dims_high"] for r in rows if r["name"] == n and r["dims_high"]), default=1)) for n in arrays}
+        if self.dump.sidecar:
+            self._keep_census(held | found)
+        return found
+
+    def _census_file(self) -> str | None:
+        return self.dump.sidecar and os.path.join(self.dump.sidecar, f"census-{self._tag()}.json")
+
+    def _kept_census(self) -> dict:
+        file = self._census_file()
+        if not file or not os.path.exists(file):
+            return {}
+        with open(file) as f:
+            return json.load(f)
+
+    def _keep_census(self, found: dict) -> None:
+        part = f"{self._census_file()}.{uuid.uuid4().hex}"
+        with open(part, "w") as f:
+            json.dump(found, f)
+        os.replace(part, self._census_file())
+
+    def _tag(self) -> str:
+        """What kept statistics are of: the table, how it is composed and cut, and the file as it is."""
+        now = self.dump.map.identity
+        return hashlib.sha256(repr((self.database, self.key, self.inheritance, self.strings, self.group_bytes, now["size"], now["modified"])).encode()).hexdigest()[:16]
 
     def _resolved(self, name: str) -> Resolved:
         return next(c for c in self.columns if c.name == name)
@@ -213,19 +266,40 @@ class DumpTable:
         return stats.gather(self.dump.spark, self.dump.source, self._work(), columns)
 
     def statistics(self, columns: list[str] | None = None) -> DataFrame:
-        """Group statistics; with a sidecar they are kept, and only columns without are read for."""
+        """Group statistics; with a sidecar they are kept, a folder a column, and only columns without are read for.
+
+        A column's folder takes its place as a whole: of two sessions that gather it, one keeps it.
+        """
         wanted = columns if columns is not None else self.names
-        if not self.dump.sidecar:
+        if not self.dump.sidecar or not wanted:
             return self._gather(wanted)
-        tag = hashlib.sha256(repr((self.database, self.key, self.inheritance, self.strings, self.group_bytes, self.dump.map.identity["size"], self.dump.map.identity["modified"])).encode()).hexdigest()[:16]
-        path = os.path.join(self.dump.sidecar, f"stats-{tag}.parquet")
-        kept = set()
-        if os.path.exists(path):
-            kept = {r.name for r in self.dump.spark.read.parquet(path).select("name").distinct().collect()}
-        fresh = [n for n in wanted if n not in kept]
+        path = os.path.join(self.dump.sidecar, f"stats-{self._tag()}")
+        folders = {n: os.path.join(path, "column=" + hashlib.sha256(n.encode()).hexdigest()[:24]) for n in wanted}
+        fresh = [n for n in wanted if not os.path.isdir(folders[n])]
         if fresh:
-            self._gather(fresh).write.mode("append").parquet(path)
-        return self.dump.spark.read.schema(stats.SCHEMA).parquet(path).where(F.col("name").isin(wanted)) if wanted else self._gather([])
+            part = f"{path}.{uuid.uuid4().hex}"
+            column = F.substring(F.sha2("name", 256), 1, 24).alias("column")
+            self._gather(fresh).select("*", column).write.partitionBy("column").parquet(part)
+            os.makedirs(path, exist_ok=True)
+            for n in fresh:
+                made = os.path.join(part, os.path.basename(folders[n]))
+                os.makedirs(made, exist_ok=True)  # a table without rows has no groups
+                try:
+                    os.rename(made, folders[n])
+                except OSError:
+                    pass  # another session was first
+            shutil.rmtree(part, ignore_errors=True)
+        return self.dump.spark.read.schema(stats.SCHEMA).parquet(*(folders[n] for n in wanted))
+
+    def kept_statistics(self, names: list[str]) -> list[dict] | None:
+        """Kept statistics of columns, read without Spark; None where there are none."""
+        import pyarrow.dataset as ds
+
+        path = self.dump.sidecar and os.path.join(self.dump.sidecar, f"stats-{self._tag()}")
+        folders = [os.path.join(path, "column=" + hashlib.sha256(n.encode()).hexdigest()[:24]) for n in names] if path else []
+        if not folders or not all(map(os.path.isdir, folders)):
+            return None
+        return [r for f in folders for r in ds.dataset(f, format="parquet").to_table().to_pylist()]
 
     def summary(self) -> DataFrame:
         return stats.summary(self.statistics())
@@ -278,7 +352,9 @@ class DumpTable:
     def pruned(self, bound: Bound) -> tuple[list[Segment], dict[int, dict[str, str]]]:
         """Segments of the row groups that may hold a row for which the filter is true, neighbours joined; and orders of blocks."""
         names = columns_of(bound.tree)
-        rows = self.statistics(names).collect()  # of the filter's columns only
+        rows = self.kept_statistics(names)  # of the filter's columns only
+        if rows is None:
+            rows = [r.asDict() for r in self.statistics(names).collect()]
         groups = stats.by_group(rows)
         bounds = {(r["block"], r["grp"]): (r["start"], r["end"]) for r in rows}
         kept: list[Segment] = []
@@ -355,7 +431,8 @@ class DumpTable:
     def top(self, column: str, n: int, descending: bool = False, **options) -> DataFrame:
         """ORDER BY column LIMIT n with NULLs last (first when descending): groups that can't reach the n-th bound of the others are skipped."""
         r = self._resolved(column)
-        groups = [g for g in self.statistics([column]).collect() if g["low"] is not None and not g["refused"]]
+        rows = self.kept_statistics([column])
+        groups = [g for g in (rows if rows is not None else self.statistics([column]).collect()) if g["low"] is not None and not g["refused"]]
         tree = None
         side, far = ("high", "low") if descending else ("low", "high")
         ranked = sorted(groups, key=lambda g: values.order_key(r.type, g[far]), reverse=descending)

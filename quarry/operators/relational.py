@@ -73,3 +73,19 @@ def generate_series(spark: SparkSession, start: int, stop: int, step: int = 1) -
 
 def unnest(df: DataFrame, column: str, name: str = "value", outer: bool = False) -> DataFrame:
     return df.withColumn(name, (F.explode_outer if outer else F.explode)(column))
+
+
+def numbered(df: DataFrame, by: list, name: str, path: str) -> DataFrame:
+    """``df`` with the place of each row in the total order ``by``, from 1, and no task that has all rows.
+
+    Rows are dealt by ranges, sorted within and written to ``path`` with their place in the range, so that a lost task
+    finds the same ranges again; the ranges' sizes, one number a task, give the rest.
+    """
+    df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    kept = df.sparkSession.read.parquet(path)
+    part = F.shiftright("__at", 33)
+    sizes = kept.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = sizes.select("__part", before.alias("__ahead"))
+    place = F.col("__ahead") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return kept.join(F.broadcast(ahead), part == F.col("__part")).withColumn(name, place.cast("long")).drop("__at", "__part", "__ahead")

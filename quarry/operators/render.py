@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -45,11 +48,37 @@ def rendered(table: DumpTable, columns: list[str] | None = None, **options) -> D
     return found.mapInArrow(run, "line string")
 
 
-def show(df: DataFrame, form: str = "table", limit: int = 1000) -> str:
-    """A result of a bounded number of rows as table, csv, tsv, json or ndjson."""
-    rows = df.limit(limit).toPandas()
+def chunk_text(rows, form: str) -> str:
     if form in ("csv", "tsv"):
         return rows.to_csv(index=False, sep="," if form == "csv" else "\t")
     if form in ("json", "ndjson"):
         return rows.to_json(orient="records", lines=form == "ndjson", date_format="iso")
     return rows.to_string(index=False)
+
+
+def show(df: DataFrame, form: str = "table", limit: int = 1000) -> str:
+    """The first ``limit`` rows of a result as table, csv, tsv, json or ndjson."""
+    return chunk_text(df.limit(limit).toPandas(), form)
+
+
+def shown(df: DataFrame, form: str = "table", chunk: int = 1000):
+    """All rows of a result as lines of text, a chunk of rows on the driver at a time; tables are aligned by chunk."""
+    rows, first = iter(df.toLocalIterator(prefetchPartitions=True)), True
+    while True:
+        part = list(islice(rows, chunk))
+        if not part and not first:
+            break
+        text = chunk_text(pd.DataFrame([tuple(r) for r in part], columns=df.columns) if part or form != "table" else pd.DataFrame(columns=df.columns), form).rstrip("\n")
+        if form in ("csv", "tsv") and not first:
+            text = text.partition("\n")[2]
+        elif form == "table" and not first:
+            text = text.partition("\n")[2]
+        elif form == "json":  # one array over all chunks
+            text = ("[" if first else ",") + text[1:-1]
+        if text or form != "ndjson":
+            yield text
+        first = False
+        if not part:
+            break
+    if form == "json":
+        yield "]"

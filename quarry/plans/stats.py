@@ -144,25 +144,30 @@ def column_stats(r: Resolved, column: pa.Array) -> dict:
     return out
 
 
+def group_rows(source, item: tuple[CopyBlock, int, int, int], columns: dict[int, list[Resolved]]) -> list[dict]:
+    """The statistics of one (block, group number, start, end), a row a column."""
+    block, number, start, end = item
+    wanted = columns[block.number]
+    _, data = row_bytes(source, block, start, end)
+    texts, rows = columns_of(data, block, [c.name for c in wanted])
+    head = {"block": block.number, "grp": number, "start": start, "end": end, "rows": rows, "bytes": len(data)}
+    empty = {"nulls": 0, "dims_low": None, "dims_high": None}
+    return [head | empty | column_stats(c, texts[c.name]) for c in wanted] or [head | {"name": None, "nulls": 0}]
+
+
 def gather(spark: SparkSession, source, work: list[tuple[CopyBlock, int, int, int]], columns: dict[int, list[Resolved]], tasks: int | None = None) -> DataFrame:
     """``SCHEMA`` rows for (block, group number, start, end) work items."""
     if not work:
         return spark.createDataFrame([], SCHEMA)
     shared = spark.sparkContext.broadcast((source, work, columns))
-    names = [f.split()[0] for f in SCHEMA.split(", ") if " " in f]
 
     def run(batches):
         source, work, columns = shared.value
         kind = arrow_of()
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                block, number, start, end = work[i]
-                wanted = columns[block.number]
-                _, data = row_bytes(source, block, start, end)
-                texts, rows = columns_of(data, block, [c.name for c in wanted])
-                head = {"block": block.number, "grp": number, "start": start, "end": end, "rows": rows, "bytes": len(data)}
-                found = [head | column_stats(c, texts[c.name]) for c in wanted] or [head | {"name": None, "nulls": 0}]
-                yield pa.RecordBatch.from_pylist([{n: f.get(n) for n in names} for f in found], schema=kind)
+                found = group_rows(source, work[i], columns)
+                yield pa.RecordBatch.from_pylist([{n: f.get(n) for n in kind.names} for f in found], schema=kind)
 
     n = min(len(work), tasks or 20_000)
     return spark.range(0, len(work), 1, n).mapInArrow(run, SCHEMA)

@@ -9,12 +9,15 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import typequeries
+from .errors import DumpError
 from .functions import scalars
 from .operators import relational
 from .operators.dump import Dump, register_dump
@@ -58,16 +61,29 @@ def same(name: str, sql: str, oracle: str | None = None) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and the executors see."""
-    at = urlsplit(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()).path
+    """A folder that the driver and the executors see: on a cluster, spark.checkpoint.dir has to name it."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise DumpError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    at = urlsplit(named or tempfile.gettempdir()).path
     folder = os.path.join(at, "quarry-dumps")
     os.makedirs(folder, exist_ok=True)
     return folder
 
 
+def input_state(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
+    """Size and time of each table that is dumped, by Spark's file systems."""
+    out = []
+    for name in DUMPED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        out.append((files.getContentSummary(path).getLength(), files.getFileStatus(path).getModificationTime()))
+    return out
+
+
 def dump_path(spark: SparkSession, sf_dir: str, kind: str = "all", make=None) -> str:
-    """Write the dump of a folder's tables unless it is there; a finished file has its final name."""
-    tag = hashlib.sha256(f"{sf_dir} {kind} 2".encode()).hexdigest()[:16]
+    """Write the dump of a folder's tables unless it is there for these inputs; a finished file has its final name."""
+    tag = hashlib.sha256(f"{sf_dir} {kind} 3 {input_state(spark, sf_dir)}".encode()).hexdigest()[:16]
     path = os.path.join(shared_folder(spark), f"{kind}-{tag}.sql")
     if not os.path.exists(path):
         part = f"{path}.{os.getpid()}"
@@ -80,6 +96,19 @@ def dump(spark: SparkSession, sf_dir: str, **options) -> Dump:
     return Dump(spark, dump_path(spark, sf_dir), **options)
 
 
+#: Bytes of a row group in the queries: the tables here are small.
+GROUP_BYTES = 64 << 10
+
+
+def mapped(spark: SparkSession, sf_dir: str) -> Dump:
+    """The dump with its map and the statistics of its large tables, gathered once and kept beside it."""
+    path = dump_path(spark, sf_dir)
+    found = Dump(spark, path, sidecar=f"{path}.map")
+    for name in ("orders", "lineitem", "customer"):
+        found.table(name, group_bytes=GROUP_BYTES).statistics()
+    return found
+
+
 # ---- scans ------------------------------------------------------------------------------------------
 
 
@@ -118,21 +147,42 @@ def dump_scan_events_json(spark, d):
     return dump(spark, d).table("events").scan()
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders WHERE o_orderkey < 200")
+def numbered(spark, d, df: DataFrame, by: list, name: str) -> DataFrame:
+    out = os.path.join(shared_folder(spark), f"numbered-{uuid.uuid4().hex}")
+    return relational.numbered(df, by, name, out)
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders")
 def dump_scan_file_order(spark, d):
-    t = dump(spark, d).table("orders")
-    found = t.scan(["o_orderkey"], where="o_orderkey < 200", offsets=True)
-    by = relational.Window.orderBy("_offset")
-    return found.select("o_orderkey", F.row_number().over(by).cast("long").alias("place"))
+    found = dump(spark, d).table("orders").scan(["o_orderkey"], offsets=True)
+    return numbered(spark, d, found, ["_offset"], "place").select("o_orderkey", "place")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 10 AND 500 AND o_orderstatus IN ('O', 'F')")
 def dump_data_source(spark, d):
     datasource.register(spark)
-    t = spark.read.format("dump").option("path", dump_path(spark, d)).option("table", "orders").load()
+    path = dump_path(spark, d)
+    t = spark.read.format("dump").option("path", path).option("table", "orders").option("sidecar", f"{path}.map").load()
     return t.where("o_orderkey BETWEEN 10 AND 500 AND o_orderstatus IN ('O', 'F')").select("o_orderkey", "o_totalprice")
 
 
+def arrays_dump(spark, d) -> str:
+    def make(part: str) -> None:
+        rows = read(spark, d, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list("c_custkey")).alias("keys"), F.max("c_acctbal").cast("decimal(12,2)").alias("best"))
+        write_dump(part, {"held": rows})
+
+    return dump_path(spark, d, "held", make)
+
+
+@query("SELECT c_nationkey, list_sort(list(c_custkey)) AS keys FROM customer GROUP BY c_nationkey HAVING CAST(max(c_acctbal) AS DECIMAL(12,2)) > 100.50")
+def dump_data_source_arrays(spark, d):
+    """A table with an array column, through SQL's own DDL; a decimal bound is pushed into the scan."""
+    datasource.register(spark)
+    path = arrays_dump(spark, d)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW held_accounts USING dump OPTIONS (path '{path}', table 'held', sidecar '{path}.map')")
+    return spark.sql("SELECT c_nationkey, keys FROM held_accounts WHERE best > 100.50")
+
+
 @query("SELECT r_name, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
 def dump_register_views(spark, d):
     register_dump(spark, "shop", dump_path(spark, d))
@@ -202,8 +252,6 @@ filtered("filter_not_in", "l_linenumber not in (1, 2, 3)", "l_linenumber NOT IN
 filtered("filter_not_in_null", "l_linenumber not in (1, null)", "l_linenumber NOT IN (1, NULL)")
 filtered("filter_in_empty", Term("l_linenumber", "in", ()), "false")
 filtered("filter_between", between("l_quantity", "5", "7"), "l_quantity BETWEEN 5 AND 7")
-filtered("filter_is_null", "o_orderstatus is null", "o_orderstatus IS NULL", "orders", ["o_orderkey"])
-filtered("filter_is_not_null", "o_orderstatus is not null and o_orderkey < 50", "o_orderstatus IS NOT NULL AND o_orderkey < 50", "orders", ["o_orderkey"])
 filtered("filter_distinct_from", "c_mktsegment is distinct from 'BUILDING'", "c_mktsegment IS DISTINCT FROM 'BUILDING'", "customer", ["c_custkey"])
 filtered("filter_not_distinct_from", "c_mktsegment is not distinct from 'BUILDING'", "c_mktsegment IS NOT DISTINCT FROM 'BUILDING'", "customer", ["c_custkey"])
 filtered("filter_where_grammar", "NOT (c_nationkey > 5 AND c_acctbal < 0) OR c_mktsegment = 'MACHINERY'", "NOT (c_nationkey > 5 AND c_acctbal < 0) OR c_mktsegment = 'MACHINERY'", "customer", ["c_custkey"])
@@ -234,19 +282,31 @@ def filter_bool_is(spark, d):
 
 @query(f"SELECT c_custkey FROM {FLAGS} WHERE rich IS UNKNOWN OR segment IS NULL")
 def filter_bool_unknown(spark, d):
-    return nullable_dump(spark, d).table("flags").scan(["c_custkey"], where="rich is null or segment is null")
+    from .plans.predicate import Or
+
+    return nullable_dump(spark, d).table("flags").scan(["c_custkey"], tree=Or((is_truth("rich", None), Term("segment", "is null"))))
+
 
+@query(f"SELECT c_custkey FROM {FLAGS} WHERE segment IS NULL")
+def filter_is_null(spark, d):
+    return nullable_dump(spark, d).table("flags").scan(["c_custkey"], where="segment is null")
 
-same("filter_like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%' AND p_type NOT LIKE 'X%'")
+
+@query(f"SELECT c_custkey FROM {FLAGS} WHERE segment IS NOT NULL AND rich IS NOT NULL")
+def filter_is_not_null(spark, d):
+    return nullable_dump(spark, d).table("flags").scan(["c_custkey"], where="segment is not null and rich is not null")
+
+
+same("filter_like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%ing' AND p_type NOT LIKE 'SM%'")
 same("filter_ilike", "SELECT p_partkey FROM part WHERE p_type ILIKE '%a%'")
-same("filter_regex", "SELECT p_partkey FROM part WHERE regexp_like(p_name, '[0-9]*5$')", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '[0-9]*5$')")
+same("filter_regex", "SELECT p_partkey FROM part WHERE regexp_like(p_name, '^[a-r].*[gt]$')", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^[a-r].*[gt]$')")
 same("filter_similar_to", "SELECT p_partkey FROM part WHERE p_brand SIMILAR TO 'Brand#(1|2)%'", "SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#(1|2).*')")
 
 # ---- pruning and statistics -------------------------------------------------------------------------------
 
 
 def pruned_scan(spark, d, table: str, must_skip: bool, columns, **options) -> DataFrame:
-    t = dump(spark, d).table(table, group_bytes=16 << 10)
+    t = mapped(spark, d).table(table, group_bytes=GROUP_BYTES)
     out = t.scan(columns, use_statistics=True, **options)
     if must_skip and t.metrics["row_groups"] > 4 and not t.metrics["row_groups_pruned_statistics"]:
         raise AssertionError("no row group was skipped")
@@ -270,24 +330,37 @@ def prune_kleene(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
 def prune_topk(spark, d):
-    return dump(spark, d).table("orders", group_bytes=16 << 10).top("o_totalprice", 1, True, columns=["o_orderkey", "o_totalprice"])
+    return mapped(spark, d).table("orders", group_bytes=GROUP_BYTES).top("o_totalprice", 1, True, columns=["o_orderkey", "o_totalprice"])
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 100 = 3 AND o_orderkey < 1000)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_extendedprice > 100000)")
 def prune_semi_join(spark, d):
-    keys = read(spark, d, "orders").where("o_orderkey % 100 = 3 AND o_orderkey < 1000").select("o_orderkey")
-    return dump(spark, d).table("orders", group_bytes=16 << 10).semi_join_prune("o_orderkey", keys, columns=["o_orderkey", "o_custkey"])
+    """Keys that grow with the data: by their list while they are few, by their bounds beyond."""
+    keys = read(spark, d, "lineitem").where("l_extendedprice > 100000").select("l_orderkey")
+    return mapped(spark, d).table("orders", group_bytes=GROUP_BYTES).semi_join_prune("o_orderkey", keys, columns=["o_orderkey", "o_custkey"])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 200")
+def unpruned_range(spark, d):
+    """prune_range without statistics: the base of their ratio."""
+    return mapped(spark, d).table("orders").scan(["o_orderkey", "o_totalprice"], where="o_orderkey >= 100 and o_orderkey < 200")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
+def unpruned_topk(spark, d):
+    """prune_topk without statistics: the base of their ratio."""
+    return mapped(spark, d).table("orders").scan(["o_orderkey", "o_totalprice"]).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1)
 
 
 @query("SELECT count(*) AS n, min(l_orderkey) AS low, max(l_orderkey) AS high, CAST(sum(l_linenumber) AS BIGINT) AS total, count(DISTINCT l_returnflag) AS flags FROM lineitem")
 def stats_answers(spark, d):
-    a = dump(spark, d).table("lineitem").stats_aggregate(("count", None), ("min", "l_orderkey"), ("max", "l_orderkey"), ("sum", "l_linenumber"), ("count_distinct", "l_returnflag"))
+    a = mapped(spark, d).table("lineitem", group_bytes=GROUP_BYTES).stats_aggregate(("count", None), ("min", "l_orderkey"), ("max", "l_orderkey"), ("sum", "l_linenumber"), ("count_distinct", "l_returnflag"))
     return spark.createDataFrame([(a["count"], a["min_l_orderkey"], a["max_l_orderkey"], a["sum_l_linenumber"], a["count_distinct_l_returnflag"])], "n long, low long, high long, total long, flags long")
 
 
 @query("SELECT 'c_custkey' AS name, count(*) AS rows, count(*) - count(c_custkey) AS nulls, CAST(sum(c_custkey) AS BIGINT) AS total FROM customer UNION ALL SELECT 'c_nationkey', count(*), count(*) - count(c_nationkey), CAST(sum(c_nationkey) AS BIGINT) FROM customer")
 def stats_summary(spark, d):
-    found = dump(spark, d).table("customer").summary().where("name IN ('c_custkey', 'c_nationkey')")
+    found = mapped(spark, d).table("customer", group_bytes=GROUP_BYTES).summary().where("name IN ('c_custkey', 'c_nationkey')")
     return found.select("name", "rows", "nulls", F.col("total").cast("long").alias("total"))
 
 
@@ -382,7 +455,7 @@ same("join_left", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT J
 same("join_right", "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey AND o_totalprice > 300000")
 same("join_full", "SELECT s_suppkey, n_nationkey FROM supplier FULL JOIN nation ON s_nationkey = n_nationkey")
 same("join_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON o_custkey = c_custkey", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-same("join_anti", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON o_custkey = c_custkey", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+same("join_anti", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 same("join_mark", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AS big FROM customer")
 same("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 same("join_theta", "SELECT a.n_nationkey AS low, b.n_nationkey AS high FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
@@ -392,9 +465,9 @@ same("join_null_safe", "SELECT a.n_nationkey FROM nation a JOIN (SELECT nullif(n
 same("join_lateral", "SELECT r_name, top_name FROM region, LATERAL (SELECT max(n_name) AS top_name FROM nation WHERE n_regionkey = r_regionkey) t")
 
 
-@query("SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 300")
+@query("SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey")
 def join_sort_merge(spark, d):
-    return read(spark, d, "orders").where("o_orderkey < 300").hint("merge").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    return read(spark, d, "orders").hint("merge").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
 
 
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -418,7 +491,7 @@ same("window_lag_lead", "SELECT o_orderkey, lag(o_orderkey, 1) OVER w AS before,
 same("window_frame_rows", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS n, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM orders")
 same("window_frame_range", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL '30' DAY PRECEDING AND CURRENT ROW) AS n FROM orders")
 same("window_aggregate", "SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey) AS n, max(c_acctbal) OVER (PARTITION BY c_mktsegment) AS best FROM customer")
-same("window_ignore_nulls", "SELECT c_custkey, last_value(nullif(c_nationkey, 3)) IGNORE NULLS OVER (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM customer", "SELECT c_custkey, last_value(nullif(c_nationkey, 3) IGNORE NULLS) OVER (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM customer")
+same("window_ignore_nulls", "SELECT c_custkey, last_value(nullif(c_nationkey, 3)) IGNORE NULLS OVER (PARTITION BY c_mktsegment ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM customer", "SELECT c_custkey, last_value(nullif(c_nationkey, 3) IGNORE NULLS) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM customer")
 same("window_qualify", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
 
 
@@ -427,22 +500,37 @@ def window_groups(spark, d):
     return relational.over_groups(read(spark, d, "customer"), F.count(F.lit(1)), ["c_mktsegment"], ["c_nationkey"], 1, 0, "n").select("c_custkey", "n")
 
 
-same("sort_nulls_last", "SELECT c_custkey, row_number() OVER (ORDER BY nullif(c_nationkey, 3), c_custkey) AS place FROM customer")
-same("sort_nulls_desc", "SELECT c_custkey, row_number() OVER (ORDER BY nullif(c_nationkey, 3) DESC, c_custkey) AS place FROM customer", "SELECT c_custkey, row_number() OVER (ORDER BY nullif(c_nationkey, 3) DESC NULLS FIRST, c_custkey) AS place FROM customer")
+@query("SELECT c_custkey, row_number() OVER (ORDER BY nullif(c_nationkey, 3) ASC NULLS LAST, c_custkey) AS place FROM customer")
+def sort_nulls_last(spark, d):
+    """The database's order, NULLs as the largest value, over ranges and not in one task."""
+    return sorted_places(spark, d, False)
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY nullif(c_nationkey, 3) DESC NULLS FIRST, c_custkey) AS place FROM customer")
+def sort_nulls_desc(spark, d):
+    return sorted_places(spark, d, True)
+
+
+def sorted_places(spark, d, descending: bool) -> DataFrame:
+    rows = read(spark, d, "customer").select("c_custkey", F.nullif(F.col("c_nationkey"), F.lit(3)).alias("k"))
+    first = F.col("k").desc_nulls_first() if descending else F.col("k").asc_nulls_last()
+    return numbered(spark, d, rows, [first, F.col("c_custkey").asc()], "place").select("c_custkey", "place")
+
+
 same("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 same("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7 OFFSET 5")
 same("set_union_all", "SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
 same("set_union", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey + 3 FROM region")
 same("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 same("set_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
-same("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+same("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000")
 same("set_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
 same("cte", "WITH big AS (SELECT o_custkey, max(o_totalprice) AS top FROM orders GROUP BY o_custkey) SELECT c_nationkey, count(*) AS n FROM big JOIN customer ON c_custkey = o_custkey WHERE top > 200000 GROUP BY c_nationkey")
 same("cte_recursive", "WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t")
 same("subq_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)")
 same("subq_correlated", "SELECT o_orderkey FROM orders o WHERE o_totalprice = (SELECT max(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
 same("subq_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
-same("subq_in", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+same("subq_in", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_acctbal > ALL (SELECT s_acctbal FROM supplier)")
@@ -468,7 +556,7 @@ same(
     "SELECT n_nationkey, lower(n_name) AS lo, upper(n_name) AS up, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS cap, length(n_name) AS len, substr(n_name, 2, 3) AS sub, replace(n_name, 'A', 'x') AS rep, reverse(n_name) AS rev, lpad(n_name, 12, '*') AS lp, rpad(n_name, 12, '-') AS rp, split_part(n_name, ' ', 1) AS part, translate(n_name, 'AE', 'ae') AS tr, concat_ws('-', n_name, 'x') AS cw, left(n_name, 2) AS le, right(n_name, 2) AS ri, repeat('ab', 2) AS rpt, ascii(n_name) AS a, instr(n_name, 'A') AS pos, starts_with(n_name, 'A') AS st, levenshtein(n_name, 'CHINA') AS lev FROM nation",
 )
 same("fn_regexp", "SELECT p_partkey, regexp_replace(p_brand, '[0-9]+', '#') AS rep, regexp_extract(p_brand, '([0-9]+)', 1) AS num, regexp_count(p_name, '[aeiou]') AS vowels FROM part", "SELECT p_partkey, regexp_replace(p_brand, '[0-9]+', '#', 'g') AS rep, regexp_extract(p_brand, '([0-9]+)', 1) AS num, len(regexp_extract_all(p_name, '[aeiou]')) AS vowels FROM part")
-same("fn_date", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, CAST(extract(YEAR FROM o_orderdate) AS INT) AS y, CAST(date_part('month', o_orderdate) AS INT) AS mo, CAST(o_orderdate AS DATE) AS day, make_date(2020, 2, 29) AS leap FROM orders WHERE o_orderkey < 500", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, CAST(extract(YEAR FROM o_orderdate) AS INT) AS y, CAST(date_part('month', o_orderdate) AS INT) AS mo, CAST(o_orderdate AS DATE) AS day, make_date(2020, 2, 29) AS leap FROM orders WHERE o_orderkey < 500")
+same("fn_date", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, CAST(extract(YEAR FROM o_orderdate) AS INT) AS y, CAST(date_part('month', o_orderdate) AS INT) AS mo, CAST(o_orderdate AS DATE) AS day, make_date(2020, 2, 29) AS leap FROM orders", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, CAST(extract(YEAR FROM o_orderdate) AS INT) AS y, CAST(date_part('month', o_orderdate) AS INT) AS mo, CAST(o_orderdate AS DATE) AS day, make_date(2020, 2, 29) AS leap FROM orders")
 
 
 @query("SELECT event_id, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01') AS bin, strftime(ts, '%Y/%m/%d %H') AS shown, epoch_us(ts) // 1000000 AS unix FROM events")
@@ -527,3 +615,8 @@ def sink_text(spark, d):
     from .operators.render import rendered
 
     return rendered(dump(spark, d).table("supplier"), ["s_suppkey", "s_name", "s_nationkey"])
+
+
+_found, _sql = typequeries.registered(dump_path)
+QUERIES |= _found
+ORACLES |= _sql

@@ -47,6 +47,7 @@ class HttpSource:
 
     url: str
     tag: str | None = None
+    length: int | None = None
 
     def __post_init__(self):
         parts = urlsplit(self.url)
@@ -61,13 +62,17 @@ class HttpSource:
         if self.tag and tag != self.tag:
             raise SourceChanged(f"{self.url} has changed")
         self.tag = self.tag or tag
+        self.length = int(answer.headers["Content-Range"].rpartition("/")[2])
         return answer
 
     def size(self) -> int:
-        with self._open(0, 1) as answer:
-            return int(answer.headers["Content-Range"].rpartition("/")[2])
+        """Asked once: an answer of another tag is refused."""
+        if self.length is None:
+            self._open(0, 1).close()
+        return self.length
 
     def identity(self) -> dict:
+        self.length = None  # the server is asked anew
         size = self.size()
         return {"size": size, "modified": self.tag, "location": self.url}
 
@@ -110,18 +115,29 @@ class BlockSource:
         return self.raw.identity()
 
     def cuts(self) -> list[int]:
-        return [b[2] for b in self.blocks]
+        """Built once, when the blocks are known."""
+        if len(self.__dict__.get("_cuts", ())) != len(self.blocks):
+            self._cuts = [b[2] for b in self.blocks]
+        return self._cuts
 
     def inflate(self, data: bytes, length: int) -> bytes:
         raise NotImplementedError
 
+    def block(self, at: int) -> bytes:
+        """An inflated block; the last one is kept, so that reads in small steps inflate it once."""
+        if self.__dict__.get("_last", (None,))[0] != at:
+            a, b, _, length = self.blocks[at]
+            self._last = (at, self.inflate(self.raw.read(a, b), length) if length else b"")
+        return self._last[1]
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("_cuts", "_last")}
+
     def read(self, start: int, end: int) -> bytes:
         at, out = max(0, bisect_right(self.cuts(), start) - 1), []
         while at < len(self.blocks) and self.blocks[at][2] < end:
-            a, b, first, length = self.blocks[at]
-            if length:
-                data = self.inflate(self.raw.read(a, b), length)
-                out.append(data[max(0, start - first) : max(0, end - first)])
+            first = self.blocks[at][2]
+            out.append(self.block(at)[max(0, start - first) : max(0, end - first)])
             at += 1
         return b"".join(out)
 

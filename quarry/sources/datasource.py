@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not
 
 from ..errors import DumpError
 from ..plans import predicate as P
-from .byteio import open_source
-from .dumpmap import scan_structure
 from .rows import cut_block
 
-OPTIONS = ("path", "table", "schema", "database", "schema_mode", "unrepresentable", "postgres_invalid_values", "inheritance", "strict_identity")
+OPTIONS = ("path", "table", "schema", "database", "schema_mode", "unrepresentable", "postgres_invalid_values", "inheritance", "strict_identity", "sidecar", "group_bytes")
 COMPARISONS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-#: Types whose literals Spark prints as the database reads them.
-PUSHED = ("int2", "int4", "int8", "oid", "text", "varchar", "date", "uuid")
+#: Types whose literals are printed as the database reads them.
+PUSHED = ("int2", "int4", "int8", "oid", "text", "varchar", "date", "uuid", "bool", "float8", "decimal", "timestamp")
+
+
+def literal(value) -> str:
+    if isinstance(value, bool):
+        return "t" if value else "f"
+    if isinstance(value, Decimal):
+        return f"{value:f}"
+    return repr(value) if isinstance(value, float) else str(value)
 
 
 class DumpSource(DataSource):
@@ -31,13 +39,11 @@ class DumpSource(DataSource):
         if unknown or "path" not in self.options or "table" not in self.options:
             raise DumpError(f"options are {OPTIONS}; path and table are needed; not {sorted(unknown)}")
         o = self.options
-        dump = Dump.__new__(Dump)
-        dump.spark, dump.location, dump.sidecar, dump.notes = SparkSession.getActiveSession(), o["path"], None, []
-        dump.source = open_source(o["path"])
-        dump.map = scan_structure(o["path"], dump.source)
-        dump.identity_terms = tuple(o.get("strict_identity", "advisory").split(","))
+        # the planner's process has no session: a kept map is read, and one that is made is kept if there is a place for it
+        dump = Dump(None, o["path"], o.get("sidecar"), tuple(o.get("strict_identity", "advisory").split(",")))
         database, key = dump.map.find(o["table"], o.get("schema"), o.get("database"))
-        return DumpTable(dump, database, key, o.get("inheritance", "descendants"), o.get("schema_mode", "typed"), o.get("unrepresentable", "null"), o.get("postgres_invalid_values", "default"))
+        size = int(o["group_bytes"]) if "group_bytes" in o else None
+        return DumpTable(dump, database, key, o.get("inheritance", "descendants"), o.get("schema_mode", "typed"), o.get("unrepresentable", "null"), o.get("postgres_invalid_values", "default"), size)
 
     def schema(self):
         from ..operators.scan import ScanSpec
@@ -56,7 +62,7 @@ class DumpReader(DataSourceReader):
         dump = table.dump
         segments = [s for b in table.blocks for s in cut_block(b, 32 << 20, dump.source.cuts())]
         self.spec = ScanSpec(dump.source, dump.map.identity, {b.number: b for b in table.blocks}, segments, table.columns, table.modes, watch=dump.identity_terms != ("none",))
-        self.columns, self.strings = {c.name: c for c in table.columns}, table.strings
+        self.table, self.columns, self.strings = table, {c.name: c for c in table.columns}, table.strings
 
     def pushFilters(self, filters):
         terms = []
@@ -68,6 +74,9 @@ class DumpReader(DataSourceReader):
                 terms.append(term)
         if terms:
             self.spec.filter = P.Bound(P.And(tuple(terms)), self.columns, strings=self.strings)
+            names = P.columns_of(self.spec.filter.tree)
+            if self.table.kept_statistics(names) is not None:  # row groups that can't hold such rows are not read
+                self.spec.segments, self.spec.sortedness = self.table.pruned(self.spec.filter)
 
     def term(self, f):
         if isinstance(f, Not):
@@ -81,11 +90,14 @@ class DumpReader(DataSourceReader):
         if isinstance(f, IsNotNull):
             return P.Term(name, "is not null")
         if isinstance(f, In):
-            return P.Term(name, "in", tuple(None if v is None else str(v) for v in f.value))
+            return P.Term(name, "in", tuple(None if v is None else literal(v) for v in f.value))
         if isinstance(f, EqualNullSafe):
-            return P.Term(name, "is not distinct from", (None if f.value is None else str(f.value),))
+            return P.Term(name, "is not distinct from", (None if f.value is None else literal(f.value),))
         op = COMPARISONS.get(type(f))
-        return P.Term(name, op, (str(f.value),)) if op and f.value is not None else None
+        return P.Term(name, op, (literal(f.value),)) if op and f.value is not None else None
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
 
     def partitions(self):
         return [InputPartition(i) for i in range(len(self.spec.segments))] or [InputPartition(-1)]
