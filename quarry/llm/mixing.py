@@ -110,7 +110,7 @@ def weights(sources: DataFrame, mix: Mixture) -> tuple[DataFrame, int]:
 
 
 def plan(docs: DataFrame, mix: Mixture, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per reading of a document: source, id, tokens, copies, epoch, start, block, place.
+    """One row per reading of a document: source, id, doc (hash of the text), tokens, copies, epoch, start, block, place.
 
     ``start`` is the token position of the document in its source's stream, ``block`` the block of the mixture
     that it falls into, ``place`` a random order within the block.  A stream ends with the document in which the
@@ -119,11 +119,11 @@ def plan(docs: DataFrame, mix: Mixture, id_col: str = "doc_id", text_col: str =
     Prefix sums are taken in slots of hashed order: about ``SLOT_DOCS`` documents meet in a task whatever
     the size of a source, then slot totals, then totals of slot groups.
 
-    Rows that repeat source, id and size are one reading with ``copies``.  Null text counts as
+    Rows that repeat source, id and text are one reading with ``copies``; other texts of the id are documents of their own.  Null text counts as
     empty, a null source is a source, a null id is an id.  An empty table gives an empty plan.
     """
-    seen = docs.select(source_key(source_col).alias("key"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), token_count(text_or_empty(text_col)).alias("tokens"))
-    seen = cut(seen.groupBy("key", "source", "id", "tokens").agg(F.count(F.lit(1)).alias("copies")))
+    seen = docs.select(source_key(source_col).alias("key"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("doc"), token_count(text_or_empty(text_col)).alias("tokens"))
+    seen = cut(seen.groupBy("key", "source", "id", "doc", "tokens").agg(F.count(F.lit(1)).alias("copies")))
     sources = cut(seen.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens")))
     weighed, _ = weights(sources, mix)
     weighed = weighed.select("key", "docs", F.col("tokens").alias("size"), "quota")
@@ -132,7 +132,7 @@ def plan(docs: DataFrame, mix: Mixture, id_col: str = "doc_id", text_col: str =
     weighed = cut(weighed.where("quota > 0"))
     rows = seen.join(F.broadcast(weighed) if bounded(weighed) else weighed, "key").withColumn("bits", bits)
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(quota - 1) div size"))))
-    order = F.xxhash64("key", "id", "tokens", "epoch", F.lit(mix.seed))
+    order = F.xxhash64("key", "id", "doc", "epoch", F.lit(mix.seed))
     rows = rows.withColumn("order", order).withColumn("slot", F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(order, 64 - bits)")))
     rows = rows.withColumn("load", F.col("tokens") * F.col("copies"))
 
@@ -143,23 +143,25 @@ def plan(docs: DataFrame, mix: Mixture, id_col: str = "doc_id", text_col: str =
     before = F.coalesce(F.sum("load").over(Window.partitionBy("key", "epoch").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slots = slots.join(groups.select("key", "epoch", "group", before.alias("ahead")), ["key", "epoch", "group"]).select("key", "epoch", "slot", (F.col("in_group") + F.col("ahead")).alias("ahead"))
 
-    within = Window.partitionBy("key", "epoch", "slot").orderBy("order", "id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("key", "epoch", "slot").orderBy("order", "id", "doc").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("load").over(within), F.lit(0))).join(slots, ["key", "epoch", "slot"])
     start = F.col("epoch") * F.col("size") + F.col("ahead") + F.col("within")
     rows = rows.withColumn("start", start).where("start < quota")
     block = F.floor(F.col("start").cast("double") * F.lit(mix.blocks) / F.col("quota")).cast("int")
-    place = F.xxhash64("key", "id", "tokens", "epoch", F.lit(mix.seed + 1))
-    return rows.select("source", "id", "tokens", "copies", "epoch", "start", F.least(block, F.lit(mix.blocks - 1)).alias("block"), place.alias("place"))
+    place = F.xxhash64("key", "id", "doc", "epoch", F.lit(mix.seed + 1))
+    return rows.select("source", "id", "doc", "tokens", "copies", "epoch", "start", F.least(block, F.lit(mix.blocks - 1)).alias("block"), place.alias("place"))
 
 
 def mixed(docs: DataFrame, mix: Mixture, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as the plan reads them: each as often as it has epochs, with its columns only.
 
-    Texts move once, to meet their readings by id; a hot source is no hot key.
+    Texts move once, to meet their readings by id and the hash of the text; a hot source is no hot key.  Rows that repeat source, id and
+    text are read alike.  Null text counts as empty, a null source is a source, a null id is an id; columns pass
+    through, and an empty table stays one.
     """
     names = docs.columns
-    readings = plan(docs, mix, id_col, text_col, source_col).groupBy("source", "id", "tokens").agg(F.count(F.lit(1)).cast("int").alias("__times"))
-    readings = readings.select(F.col("source").alias("__s"), F.col("id").alias("__i"), F.col("tokens").alias("__t"), "__times").hint("shuffle_hash")
-    own = docs.withColumn("__n", token_count(text_or_empty(text_col)))
-    met = own.join(readings, own[id_col].eqNullSafe(F.col("__i")) & own[source_col].eqNullSafe(F.col("__s")) & (own["__n"] == F.col("__t")))
+    readings = plan(docs, mix, id_col, text_col, source_col).groupBy("source", "id", "doc").agg(F.count(F.lit(1)).cast("int").alias("__times"))
+    readings = readings.select(F.col("source").alias("__s"), F.col("id").alias("__i"), F.col("doc").alias("__d"), "__times")
+    own = docs.withColumn("__n", F.xxhash64(text_or_empty(text_col)))
+    met = own.join(readings, own[id_col].eqNullSafe(F.col("__i")) & own[source_col].eqNullSafe(F.col("__s")) & (own["__n"] == F.col("__d")))
     return met.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*names)

@@ -26,7 +26,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.plan(documents(spark, sf_dir), mixing.Mixture())
-    return out.withColumnRenamed("id", "doc_id")
+    return out.withColumnRenamed("id", "doc_id").drop("doc")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

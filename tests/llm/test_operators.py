@@ -718,3 +718,70 @@ def test_mixing_on_odd_rows(odd):
     assert {str(x) for x in plain(out)} == {str(x) for x in plain(odd)}
     assert mixing.mixed(empty(odd), mixing.Mixture(cover=True)).count() == 0
     assert mixing.plan(empty(odd), mixing.Mixture()).count() == 0
+
+
+def test_mixing_tells_texts_of_one_id_apart(spark):
+    docs = [(7, "a b", "s"), (7, "c d", "s"), (7, "c d", "s"), (None, "e", None), (None, "f", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = mixing.plan(df, mixing.Mixture(entropy=0.0)).where("epoch = 0").collect()
+    assert sorted((str(r["id"]), r["copies"]) for r in got) == [("7", 1), ("7", 2), ("None", 1), ("None", 1)]
+    assert Counter(map(str, plain(mixing.mixed(df, mixing.Mixture(entropy=0.0))))) == Counter(str(d[:2]) for d in docs)
+
+
+def plan_brute(docs, mix):
+    """The plan by plain Python, given the weights: (source, id) by position in each source's stream."""
+    from math import log
+
+    sizes = {}
+    for _, t, s in docs:
+        sizes[s] = sizes.get(s, 0) + max(1, len(words_of(t or "")))
+    total = sum(sizes.values())
+    share = {s: n / total for s, n in sizes.items()}
+
+    def weights(a):
+        z = sum(p**a for p in share.values())
+        return {s: p**a / z for s, p in share.items()}
+
+    def entropy(w):
+        return -sum(x * log(x) for x in w.values())
+
+    low, high = 0.0, 1.0
+    if entropy(weights(1.0)) >= mix.entropy * log(len(share)):
+        low = 1.0
+    else:
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if entropy(weights(middle)) >= mix.entropy * log(len(share)) else (low, middle)
+    a = low
+    times = lambda a: max(w / share[s] for s, w in weights(a).items())
+    if times(a) > mix.repetition:
+        low, high = a, 1.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (low, middle) if times(middle) <= mix.repetition else (middle, high)
+        a = high
+    return {s: (w, w * total, sizes[s]) for s, w in weights(a).items()}
+
+
+def test_whole_plan_against_brute_force(spark):
+    rng = random.Random(26)
+    docs = [(i, " ".join(["w"] * rng.randrange(1, 25)), rng.choice(["a"] * 8 + ["b"] * 3 + ["c"])) for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    for mix in (mixing.Mixture(entropy=0.97, repetition=9.0, blocks=6), mixing.Mixture(entropy=0.99, repetition=1.8, blocks=3)):
+        want = plan_brute(docs, mix)
+        got = rows(mixing.plan(df, mix))
+        tokens = {i: len(t.split()) for i, t, _ in docs}
+        for s, (_, quota, size) in want.items():
+            stream = sorted((r for r in got if r["source"] == s), key=lambda r: r["start"])
+            at = 0
+            for r in stream:  # no gap, no overlap, whole permutations, blocks by share of the quota
+                assert (r["start"], r["epoch"], r["tokens"]) == (at, at // size, tokens[r["id"]])
+                assert abs(r["block"] - min(mix.blocks - 1, int(at * mix.blocks / quota))) <= (1 if abs(at * mix.blocks / quota - round(at * mix.blocks / quota)) < 0.01 else 0)
+                at += r["tokens"]
+            assert quota - 1 <= at <= quota + 26
+            ids = [r["id"] for r in stream]
+            mine = sorted(i for i, _, x in docs if x == s)
+            for e in range(at // size):
+                assert sorted(ids[e * len(mine) : (e + 1) * len(mine)]) == mine
+            if at // size > 1:
+                assert ids[: len(mine)] != ids[len(mine) : 2 * len(mine)]
