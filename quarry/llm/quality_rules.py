@@ -14,8 +14,30 @@ BLANK = re.compile(r"[\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 SHOUT = re.compile(r"!{2,}|\?{2,}")
-NAVIGATION = re.compile(r"(?i:\b(?:home|about us|contact us|log ?in|sign ?(?:up|in)|privacy policy|terms (?:of|and) \w+|site ?map|skip to (?:main )?content|next page|previous page|back to top|read more|share this)\b)")
-BOILERPLATE = re.compile(r"(?i:all rights reserved|cookies? (?:policy|settings|to improve)|enable javascript|javascript (?:is )?(?:required|disabled)|lorem ipsum|subscribe to our|click here|powered by)")
+#: Terms of menus and of page furniture in English, French, German and Spanish, lower case.
+NAVIGATION_TERMS = (
+    "home", "about us", "contact us", "log in", "login", "sign in", "sign up", "privacy policy", "terms of use", "terms of service", "terms and conditions", "sitemap", "site map",
+    "skip to content", "skip to main content", "next page", "previous page", "back to top", "read more", "share this",
+    "accueil", "à propos", "nous contacter", "se connecter", "connexion", "mentions légales", "plan du site", "politique de confidentialité", "page suivante", "page précédente", "haut de page", "lire la suite",
+    "startseite", "über uns", "kontakt", "anmelden", "impressum", "datenschutz", "datenschutzerklärung", "nächste seite", "vorherige seite", "nach oben", "weiterlesen", "zum inhalt",
+    "inicio", "sobre nosotros", "contacto", "iniciar sesión", "aviso legal", "mapa del sitio", "política de privacidad", "página siguiente", "página anterior", "volver arriba", "leer más",
+)
+BOILERPLATE_TERMS = (
+    "all rights reserved", "cookie policy", "cookies policy", "cookie settings", "cookies to improve", "enable javascript", "javascript is required", "javascript is disabled", "lorem ipsum", "subscribe to our", "click here", "powered by",
+    "tous droits réservés", "gérer les cookies", "activer javascript", "abonnez-vous", "cliquez ici", "propulsé par",
+    "alle rechte vorbehalten", "cookie-einstellungen", "javascript aktivieren", "newsletter abonnieren", "hier klicken", "bereitgestellt von",
+    "todos los derechos reservados", "política de cookies", "activar javascript", "suscríbete a", "haga clic aquí", "desarrollado por",
+)
+
+
+def terms(words: tuple[str, ...]) -> re.Pattern:
+    """Any of the terms as whole words, a blank in them any run of blanks."""
+    return re.compile(r"(?<!\w)(?:" + "|".join(re.escape(w).replace(r"\ ", r"\s+") for w in sorted(words, key=len, reverse=True)) + r")(?!\w)", re.I)
+
+
+NAVIGATION, BOILERPLATE = terms(NAVIGATION_TERMS), terms(BOILERPLATE_TERMS)
+#: The end of a sentence: a terminal mark, closing quotes and brackets after it, then a blank or the end.
+SENTENCE_END = re.compile(r"""[.!?…:;。！？؟।]["'»”’)\]]*(?:[\x20\x09-\x0D]|$)""")
 
 
 @dataclass(frozen=True)
@@ -48,7 +70,8 @@ def line_fails(words: list[str], line: str, rules: LineRules) -> str:
         return "navigation"
     if n < 2 * rules.navigation_words and BOILERPLATE.search(line):
         return "boilerplate"
-    return ""
+    # a title, a menu entry or a cut line: not one sentence ends in it
+    return "unfinished" if not SENTENCE_END.search(line) else ""
 
 
 def repeated_words(words: list[str]) -> int:
@@ -101,6 +124,9 @@ ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules(), with_text: bool = True) -> DataFrame:
     """id and the ``FIELDS`` for every whole text; ``cleaned`` (the text without failing lines) if ``with_text``.
 
+    A line fails for separators, symbols, shouting, stutter, terms of navigation or boilerplate in four languages, or for
+    having no sentence end.  A text is kept if it passes the base and its failing lines hold at most ``lost_text`` of its words.
+
     Words are runs of other characters than ASCII white space, lines are split at line feeds;
     a word that spans a carriage return or form feed does not exist, as those are white space.
     Null text counts as empty and has no words, so it fails the base.  Rows are independent: repeated rows
