@@ -2,6 +2,8 @@
 
 import io
 import json
+import os
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +101,98 @@ def test_stream(spark, tmp_path):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def make_held(spark, tmp_path, rows=3000):
+    df = spark.range(rows).selectExpr("id AS k", "array(id, id + 1) AS keys", "CAST(id AS DECIMAL(12,2)) AS price", "id % 2 = 0 AS even", "CAST(id AS DOUBLE) / 4 AS part", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(CAST(id AS INT)) AS at")
+    return df, write_dump(str(tmp_path / "held.sql"), {"held": df})
+
+
+def test_data_source_reads_arrays_and_prunes_by_kept_statistics(spark, tmp_path):
+    from quarry.sources import datasource
+
+    df, path = make_held(spark, tmp_path)
+    datasource.register(spark)
+    plain = spark.read.format("dump").option("path", path).option("table", "held").load()
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, df.collect()))  # no sidecar: the census is made on the spot
+    side = str(tmp_path / "map")
+    kept = Dump(spark, path, sidecar=side).table("held", group_bytes=8 << 10)
+    kept.statistics()
+    with_side = spark.read.format("dump").option("path", path).option("table", "held").option("sidecar", side).option("group_bytes", str(8 << 10)).load()
+    for condition in ("price > 2990.50", "even AND k < 10", "part = 2.25", "at >= TIMESTAMP_NTZ '2032-01-01 00:00:00'", "NOT even AND price <= 3", "k IN (1, 5, 2999)"):
+        assert sorted(r.k for r in with_side.where(condition).collect()) == sorted(r.k for r in df.where(condition).collect()), condition
+    reader = datasource.DumpReader(kept)
+    from pyspark.sql.datasource import EqualTo
+
+    whole = len(reader.spec.segments)
+    list(reader.pushFilters([EqualTo(("k",), 7)]))
+    assert sum(s.end - s.start for s in reader.spec.segments) <= 2 * (8 << 10) and whole >= 1
+    assert "table" not in pickle.loads(pickle.dumps(reader)).__dict__
+
+
+def test_statistics_are_kept_once_a_column(spark, tmp_path):
+    _, path = make_held(spark, tmp_path)
+    side = str(tmp_path / "map")
+    first, second = (Dump(spark, path, sidecar=side).table("held", group_bytes=8 << 10) for _ in range(2))
+    first.statistics(["k"])
+    before = {f: os.stat(os.path.join(side, f)).st_mtime_ns for f in os.listdir(side)}
+    assert second.stats_aggregate(("count", None), ("max", "k")) == {"count": 3000, "max_k": 2999}
+    second.statistics(["k", "price"])
+    assert second.stats_aggregate(("count", None), ("sum", "price"))["count"] == 3000
+    assert {f: os.stat(os.path.join(side, f)).st_mtime_ns for f in before if not f.startswith("stats")} == {f: t for f, t in before.items() if not f.startswith("stats")}
+    assert [r["rows"] for r in second.kept_statistics(["k"])] and second.kept_statistics(["part"]) is None
+    assert not [f for f in os.listdir(side) if f.count(".") > 1]  # nothing half written is left
+
+
+def test_a_kept_map_runs_no_code(tmp_path):
+    import pickle as p
+
+    from quarry.operators.dump import MapReader
+
+    class Evil:
+        def __reduce__(self):
+            return (os.mkdir, (str(tmp_path / "made"),))
+
+    with pytest.raises(p.UnpicklingError):
+        MapReader(io.BytesIO(p.dumps(Evil()))).load()
+    assert not (tmp_path / "made").exists()
+
+
+@pytest.mark.parametrize("form", ["table", "csv", "tsv", "json", "ndjson"])
+def test_sql_prints_every_row(spark, form):
+    out = io.StringIO()
+    cli.main(["sql", "-c", "SELECT id, id * 2 AS twice FROM range(2500)", "--format", form], spark, out)
+    text = out.getvalue()
+    if form == "json":
+        assert len(json.loads(text)) == 2500
+    elif form == "ndjson":
+        assert [json.loads(x)["id"] for x in text.split()] == list(range(2500))
+    else:
+        lines = text.rstrip("\n").split("\n")
+        assert len(lines) == 2501 and lines[-1].replace(",", " ").split() == ["2499", "4998"]
+    empty = io.StringIO()
+    cli.main(["sql", "-c", "SELECT id FROM range(0)", "--format", form], spark, empty)
+    assert json.loads(empty.getvalue()) == [] if form == "json" else "0" not in empty.getvalue()
+
+
+def test_places_over_ranges(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id", "nullif(id % 7, 3) AS k").repartition(6)
+    got = relational.numbered(df, [F.col("k").asc_nulls_last(), F.col("id").desc()], "place", str(tmp_path / "n"))
+    want = sorted(((r.k is None, r.k or 0, -r.id, r.id) for r in df.collect()))
+    assert [r.id for r in sorted(got.collect(), key=lambda r: r.place)] == [w[-1] for w in want] and got.agg(F.max("place")).first()[0] == 5000
+
+
+def test_blocks_are_inflated_once_for_small_reads(tmp_path):
+    import lzma
+
+    from quarry.sources.byteio import open_source
+
+    data = os.urandom(50_000)
+    (tmp_path / "one.xz").write_bytes(lzma.compress(data))
+    source = open_source(str(tmp_path / "one.xz"))
+    calls, inflate = [], source.inflate
+    source.inflate = lambda *a: calls.append(1) or inflate(*a)
+    assert b"".join(source.read(a, a + 1000) for a in range(0, 50_000, 1000)) == data and len(calls) == 1
+    del source.inflate
+    again = pickle.loads(pickle.dumps(source))
+    assert again.read(10, 20) == data[10:20] and source.cuts() is source.cuts()
