@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quarry.llm import queries
 
@@ -41,6 +43,32 @@ def test_pipeline(spark, tmp_path):
     assert all(r["ids_sha256"] == hashlib.sha256(",".join(map(str, coder.library.encode(texts[r["doc_id"]]))).encode()).hexdigest() for r in out)
 
 
+def test_pipeline_takes_odd_rows(spark, tmp_path):
+    """Null ids and texts, empty ones, one id with two texts, repeated rows and a column with a name that stages use."""
+    docs, _ = make_folder(spark, str(tmp_path / "plain"))
+    odd = [(None, None), (401, ""), (402, " \n"), (403, "lone words stand here"), (403, "another text of that id"), (403, "lone words stand here"), (None, "some nameless text"), (None, "second nameless text")]
+    odd = [(i, t, None, None if i is None else "s1", None) for i, t in odd]
+    (tmp_path / "odd").mkdir()
+    spark.createDataFrame([*docs, *odd], "doc_id long, text string, lang string, source string, n_chars long").withColumn("part", F.lit(1)).withColumn("fp", F.lit("x")).write.parquet(str(tmp_path / "odd/documents.parquet"))
+    spark.read.parquet(str(tmp_path / "plain/labels.parquet")).write.parquet(str(tmp_path / "odd/labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    plain = corpus_pipeline.run(spark, str(tmp_path / "plain")).collect()
+    coder = queries.pieces.encoder(queries.model_path())
+
+    def digest(text):
+        return hashlib.sha256(",".join(map(str, coder.library.encode(text))).encode()).hexdigest()
+
+    stay = {(402, digest(" \n")), (403, digest(odd[3][1])), (403, digest(odd[4][1])), (None, digest(odd[6][1])), (None, digest(odd[7][1]))}
+    assert {(r["doc_id"], r["ids_sha256"]) for r in out} == {(r["doc_id"], r["ids_sha256"]) for r in plain} | stay
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{d}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
