@@ -17,13 +17,14 @@ from .common import cut
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # cut, so that the join has an exchange of its own on either side and can split a hot centre
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Edges come with u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -41,4 +42,4 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark or now[0] == 0:
             return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = now
-        state = cut(_small_star(_large_star(state)))
+        state = cut(_small_star(cut(_large_star(state))))
