@@ -36,6 +36,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         p.add_argument("--sidecar")
         p.add_argument("--detail", action="store_true")
         p.add_argument("--json", action="store_true")
+        if name == "parse":
+            p.add_argument("--statistics-level", default="data", choices=("data", "metadata"))
+            p.add_argument("--statistics-override", action="append", default=[], metavar="TABLE[.COLUMN]=LEVEL")
+            p.add_argument("--strict", action="store_true")
     q = commands.add_parser("query")
     q.add_argument("--source", required=True)
     q.add_argument("--table", required=True)
@@ -56,8 +60,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         dump = Dump(spark, args.source, sidecar=args.sidecar)
         print(info.as_json(dump, args.detail) if args.json else info.text(dump, args.detail), file=out)
         if args.command == "parse" and args.sidecar:
-            for database, schema, table in dump.tables():
-                dump.table(table, schema, database, inheritance="only").statistics()
+            dump.gather(args.statistics_level, dict(o.rpartition("=")[::2] for o in args.statistics_override))
+        if args.command == "parse" and args.strict:
+            refused = 0
+            for database, schema, name in dump.tables():
+                for r in dump.table(name, schema, database, inheritance="only").strict_check().orderBy("name").toLocalIterator():
+                    refused += 1
+                    print(f"{name}.{r.name}: {r.refused} refused, {r.nulls} NULL where there may be none: {r.first}", file=out)
+            return 1 if refused else 0
         return 0
     if args.command == "query":
         _, location, modes = source_option(args.source)

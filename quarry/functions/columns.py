@@ -21,7 +21,7 @@ class Modes:
     invalid: str = "default"
 
     def __post_init__(self):
-        if self.unrepresentable not in ("null", "text", "refuse") or self.invalid not in ("default", "ignore", "strict"):
+        if self.unrepresentable not in ("null", "text", "refuse") or self.invalid not in ("default", "ignore"):
             raise ValueError(f"unknown mode {self}")
 
 

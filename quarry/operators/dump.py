@@ -19,11 +19,11 @@ from ..errors import DumpError, SourceChanged
 from ..functions import values
 from ..functions.columns import Modes
 from ..functions.pgtypes import Resolved, resolve_column
-from ..plans import stats
+from ..plans import dialect, stats
 from ..plans.predicate import TRUE, Bound, Term, columns_of
 from ..plans.where import combine
 from ..sources.byteio import open_source
-from ..sources.copytext import split_fields, unescape
+from ..sources.copytext import MAX_LINE, split_fields, unescape
 from ..sources.dumpmap import CopyBlock, DumpMap, lines, scan_structure
 from ..sources.rows import Segment, cut_block
 from .scan import SEGMENT, ScanSpec, scan
@@ -103,6 +103,28 @@ class Dump:
                 f.write(data)
             os.replace(part, os.path.join(self.sidecar, name))
 
+    # -- statistics
+
+    def gather(self, level: str = "data", overrides: dict[str, str] | None = None) -> None:
+        """Gather and keep the statistics of all tables at level "data", of none at "metadata".
+
+        ``overrides``: levels of single tables and columns, by schema.table and schema.table.column; the closest one holds.
+        """
+        overrides = dict(overrides or {})
+        if not {level, *overrides.values()} <= {"data", "metadata"}:
+            raise DumpError(f"levels are data and metadata, not {level} and {overrides}")
+        if not self.sidecar:
+            raise DumpError("statistics are kept in a sidecar, and none is named")
+        known = set()
+        for database, schema, name in self.tables():
+            found, full = self.table(name, schema, database, inheritance="only"), f"{schema}.{name}" if schema else name
+            known |= {full, *(f"{full}.{c}" for c in found.names)}
+            wanted = [c for c in found.names if overrides.get(f"{full}.{c}", overrides.get(full, level)) == "data"]
+            if wanted:
+                found.statistics(wanted)
+        if set(overrides) - known:
+            raise DumpError(f"no such table or column: {sorted(set(overrides) - known)}")
+
     # -- tables
 
     def table(self, name: str, schema: str | None = None, database: str | None = None, inheritance: str = "descendants", **modes) -> DumpTable:
@@ -147,6 +169,8 @@ class DumpTable:
         self.dump, self.database, self.key = dump, database, key
         self.db = dump.map.databases[database]
         self.inheritance, self.strings = inheritance, schema_mode == "strings"
+        if invalid == "strict":
+            raise DumpError("a strict check is of a whole table: strict_check")
         self.modes, self.group_bytes = Modes(unrepresentable, invalid), group_bytes
         self.notes: list[str] = []
         self.blocks = self._blocks()
@@ -301,6 +325,18 @@ class DumpTable:
             return None
         return [r for f in folders for r in ds.dataset(f, format="parquet").to_table().to_pylist()]
 
+    def strict_check(self) -> DataFrame:
+        """(name, refused, nulls, first): columns with values that their declared type refuses, or NULLs where it has none.
+
+        Every value is decoded, whether or not it is used; columns of types that are kept as text are noted as unchecked.
+        """
+        opaque = [c.name for c in self.columns if c.type.kind == "opaque"]
+        if opaque:
+            self.notes.append(f"{self.key[1]}: not checked: {', '.join(opaque)}")
+        bare = F.col("name").isin([c.name for c in self.columns if c.not_null])
+        found = self.statistics().groupBy("name").agg(F.sum("refused").alias("refused"), F.sum(F.when(bare, F.col("nulls")).otherwise(0)).alias("nulls"), F.min("refusal").alias("first"))
+        return found.where("refused > 0 OR nulls > 0")
+
     def summary(self) -> DataFrame:
         return stats.summary(self.statistics())
 
@@ -376,29 +412,81 @@ class DumpTable:
                 order.setdefault(b, {})[n] = stats.block_order(self._resolved(n), mine)
         return kept, order
 
-    def scan(self, columns: list[str] | None = None, filters: list[str] | str | None = None, where: str | None = None, tree=None, semantics: str = "postgres", use_statistics: bool = False, offsets: bool = False, segment_bytes: int = SEGMENT, tasks: int | None = None) -> DataFrame:
+    def scan(self, columns: list[str] | None = None, filters: list[str] | str | None = None, where: str | None = None, tree=None, semantics: str = "postgres", use_statistics: bool = False, offsets: bool = False, segment_bytes: int | None = None, tasks: int | None = None, limit: int | None = None, marks: list[str] | None = None, after: int | None = None, before: int | None = None) -> DataFrame:
         """A DataFrame of the asked columns (none: as many empty rows) of the rows for which the filter is true.
 
         The filter runs in the scanning tasks, on the text, before anything is decoded; with ``use_statistics`` row groups
-        that can't hold such a row are not read.  ``offsets`` adds the row's byte offset, which gives the file's order.
+        that can't hold such a row are not read.  ``offsets`` adds the row's byte offset, which gives the file's order; rows
+        up to offset ``after`` and from ``before`` on are not read.  ``limit``: any so many rows, of which no task decodes more.  ``marks`` adds a boolean
+        for each of these columns: whether the dump holds a value there that the column's type has not.
+
+        The session's ``quarry.chunk_size`` is the default of ``segment_bytes``; rows longer than its ``quarry.memory`` are refused.
         """
+        segment_bytes = segment_bytes or self._setting("quarry.chunk_size") or SEGMENT
+        longest = min(self._setting("quarry.memory") or MAX_LINE, MAX_LINE)
+        marks = marks or []
+        if marks and (self.strings or not set(marks) <= set(self.names)):
+            raise DumpError(f"no declared type tells what of {marks} is unrepresentable")
         names = self.names if columns is None else columns
         if len(set(names)) != len(names) or not set(names) <= set(self.names):
             raise DumpError(f"columns {names} are unknown or named twice")
         tree = combine(filters, where) if tree is None else tree
         filtering = bool(columns_of(tree)) or not isinstance(tree, type(combine())) or tree.parts
-        bound = self.bound(tree, semantics) if filtering else None
+        bound = self.bound(tree, semantics) if filtering or marks else None
         order: dict[int, dict[str, str]] = {}
         if bound and use_statistics and columns_of(tree):
             segments, order = self.pruned(bound)
         else:
             segments = [s for b in self.blocks for s in cut_block(b, segment_bytes, self.dump.source.cuts())]
+        first, stop = -1 if after is None else after, float("inf") if before is None else before
+        segments = [replace(s, start=max(s.start, first + 1), end=min(s.end, stop)) for s in segments if s.end > first + 1 and s.start < stop]
         self.metrics["segments"] = len(segments)
         self.metrics["bytes"] = sum(s.end - s.start for s in segments)
         if bound:
             self.notes += [w for w in bound.warnings if w not in self.notes]
-        spec = ScanSpec(self.dump.source, self.dump.map.identity, {b.number: b for b in self.blocks}, segments, [self._resolved(n) for n in names], self.modes, bound, offsets, self.dump.identity_terms != ("none",), order)
-        return scan(self.dump.spark, spec, tasks)
+        spec = ScanSpec(self.dump.source, self.dump.map.identity, {b.number: b for b in self.blocks}, segments, [self._resolved(n) for n in names], self.modes, bound, offsets, self.dump.identity_terms != ("none",), order, limit, marks, longest)
+        found = scan(self.dump.spark, spec, tasks)
+        return found if limit is None else found.limit(limit)
+
+    def _setting(self, name: str) -> int | None:
+        """A setting of the session, in bytes; unset and 0 are the default."""
+        text = self.dump.spark and self.dump.spark.conf.get(name, None)
+        if text and not text.isdigit():
+            raise DumpError(f"{name} is a number of bytes, not {text!r}")
+        return int(text) if text else None
+
+    def page(self, n: int, token: str | None = None, columns: list[str] | None = None, filters: list[str] | str | None = None, where: str | None = None) -> tuple[list, str | None]:
+        """The next ``n`` rows in the file's order, and the token that the page after them begins with; None at the end.
+
+        A token is of one query over one state of the file: another one refuses it.  Segments are read in runs that double
+        until the page is full.
+        """
+        names = self.names if columns is None else columns
+        mark, at = self._token(token, names, combine(filters, where))
+        step = self._setting("quarry.chunk_size") or SEGMENT
+        ends = sorted(s.end for b in self.blocks for s in cut_block(b, step, self.dump.source.cuts()) if s.end > at + 1)
+        rows, run, last, after = [], 1, 0, at
+        while last < len(ends) and len(rows) < n:
+            last = min(last + run, len(ends))
+            run *= 2
+            some = self.scan(names, filters, where, offsets=True, after=after, before=ends[last - 1])
+            rows += some.orderBy("_offset").limit(n - len(rows)).collect()
+            after = ends[last - 1] - 1
+        full = len(rows) == n
+        return [r[:-1] for r in rows], f"{mark}:{rows[-1]['_offset'] if rows else at}" if full else None
+
+    def _token(self, token: str | None, names: list[str], tree) -> tuple[str, int]:
+        """What a token is of, and the offset of the last row before it."""
+        mark = hashlib.sha256(repr((self._tag(), names, tree)).encode()).hexdigest()[:16]
+        of, _, at = (token or f"{mark}:-1").partition(":")
+        if of != mark or not at.removeprefix("-").isdigit():
+            raise DumpError("the token is of another query or another file")
+        return mark, int(at)
+
+    def rest(self, token: str | None, columns: list[str] | None = None, filters: list[str] | str | None = None, where: str | None = None) -> DataFrame:
+        """All rows after a token, as a scan: what is before it is not read."""
+        names = self.names if columns is None else columns
+        return self.scan(names, filters, where, after=self._token(token, names, combine(filters, where))[1])
 
     def ordered_scan(self, **options) -> DataFrame:
         """In the file's order, which costs a sort; one sorted block alone is in order as it is."""
@@ -472,4 +560,5 @@ def register_dump(spark: SparkSession, name: str, location: str, staged: str | N
         view = view_name(name, database if several else None, schema, table)
         df = found.stage(os.path.join(staged, view)) if staged else found.scan()
         df.createOrReplaceTempView(f"`{view}`")
+        dialect.scanned(spark)[view] = found
     return dump

@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 from ..errors import SourceChanged
 from ..functions.columns import Modes, decode_column, holds_limits
 from ..functions.pgtypes import Resolved, arrow_type
+from ..plans.dialect import MARKED as MARK
 from ..plans.predicate import COMPARE, Bound, columns_of
+from ..sources.copytext import MAX_LINE
 from ..sources.dumpmap import CopyBlock
 from ..sources.rows import Segment, columns_of as read_columns, row_bytes, row_offsets
 
@@ -35,10 +37,17 @@ class ScanSpec:
     offsets: bool = False
     watch: bool = True
     sortedness: dict[int, dict[str, str]] = field(default_factory=dict)
+    #: Rows that are asked of the whole scan: no segment gives more.
     limit: int | None = None
+    #: Columns with a mark.
+    marks: list[str] = field(default_factory=list)
+    #: Bytes of the longest row that is read.
+    longest: int = MAX_LINE
 
     def schema(self) -> T.StructType:
         out = T.StructType([column_field(c, self.modes) for c in self.columns])
+        for n in self.marks:
+            out.add(MARK + n, T.BooleanType())
         return out.add(OFFSET, T.LongType()) if self.offsets else out
 
     def check(self) -> None:
@@ -50,10 +59,11 @@ class ScanSpec:
         """Batches of a segment's kept rows."""
         block = self.blocks[segment.block]
         filter_columns = columns_of(self.filter.tree) if self.filter else []
-        wanted = [n for n in dict.fromkeys([*filter_columns, *(c.name for c in self.columns)]) if n in (block.header.columns or ())]
-        base, data = row_bytes(self.source, block, segment.start, segment.end)
+        asked = list(dict.fromkeys([*filter_columns, *self.marks, *(c.name for c in self.columns)]))
+        wanted = [n for n in asked if n in (block.header.columns or ())]
+        base, data = row_bytes(self.source, block, segment.start, segment.end, self.longest)
         texts, rows = read_columns(data, block, wanted)
-        for n in {*filter_columns, *(c.name for c in self.columns)} - set(wanted):
+        for n in set(asked) - set(wanted):
             texts[n] = pa.nulls(rows, pa.string())
         where = pa.array(row_offsets(data, base)) if self.offsets else None
         if self.filter and rows:
@@ -63,12 +73,14 @@ class ScanSpec:
                 texts = {n: a.slice(0, rows) for n, a in texts.items()}
                 where = where.slice(0, rows) if where is not None else None
             keep = pc.fill_null(self.filter.matches(texts, rows), False)
-            texts = {c.name: texts[c.name].filter(keep) for c in self.columns}
+            texts = {n: texts[n].filter(keep) for n in dict.fromkeys([*(c.name for c in self.columns), *self.marks])}
             where = where.filter(keep) if where is not None else None
             rows = pc.sum(keep).as_py() or 0
+        rows = rows if self.limit is None else min(rows, self.limit)
         for at in range(0, rows, BATCH_ROWS):
             size = min(BATCH_ROWS, rows - at)
             out = [decode_column(texts[c.name].slice(at, size), c, self.modes) for c in self.columns]
+            out += [self.filter.beyond(self.filter.columns[n], texts[n].slice(at, size)) for n in self.marks]
             out += [where.slice(at, size)] if where is not None else []
             yield size, out
 

@@ -226,6 +226,72 @@ def dump_scan_gzip(spark, d):
     return source.table("customer").scan(["c_custkey"]).agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high"))
 
 
+@query("SELECT least(count(*), 1000) AS n FROM lineitem")
+def dump_limit(spark, d):
+    """Any 1000 rows: no task decodes more."""
+    return dump(spark, d).table("lineitem").scan(["l_orderkey"], limit=1000).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")
+def dump_resume(spark, d):
+    """Two pages of a query, and the rest of it from the second one's token on."""
+    t, asked = dump(spark, d).table("orders"), {"columns": ["o_orderkey"], "where": "o_orderstatus = O"}
+    first, token = t.page(100, **asked)
+    second, token = t.page(150, token, **asked)
+    return t.rest(token, **asked).union(spark.createDataFrame([*first, *second], "o_orderkey long"))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders")
+def dump_small_chunks(spark, d):
+    """The session's settings: the bytes that a task reads at a time, and the longest row that is read."""
+    dialect.sql(spark, "SET quarry.chunk_size = 131072")
+    dialect.sql(spark, "SET quarry.memory = 65536")
+    try:
+        return dump(spark, d).table("orders").scan(["o_orderkey", "o_orderdate"])
+    finally:
+        dialect.sql(spark, "RESET quarry.chunk_size")
+        dialect.sql(spark, "RESET quarry.memory")
+
+
+@query("SELECT 'quarry_listed_public_region' AS table_name, 'r_name' AS column_name, 2 AS ordinal_position, 'string' AS data_type")
+def information_schema(spark, d):
+    register_dump(spark, "quarry_listed", dump_path(spark, d))
+    return dialect.sql(spark, "SELECT table_name, column_name, ordinal_position, data_type FROM information_schema.columns WHERE table_name = 'quarry_listed_public_region' AND column_name = 'r_name'")
+
+
+# ---- files as tables --------------------------------------------------------------------------------
+
+
+def file_folder(d: str, spark: SparkSession, kind: str) -> str:
+    return os.path.join(shared_folder(spark), f"{kind}-" + hashlib.sha256(d.encode()).hexdigest()[:12])
+
+
+def as_files(kind: str, names: list[str], schema: str, **options):
+    """The customers written as files of a kind, which SQL reads by their path."""
+
+    def run(spark, d):
+        path = file_folder(d, spark, f"files-{kind}")
+        read(spark, d, "customer").select(*names).write.mode("overwrite").format(kind).options(**options).save(path)
+        if kind == "orc":
+            return spark.sql(f"SELECT {', '.join(names)} FROM orc.`{path}`")
+        return spark.read.format(kind).schema(schema).options(**options).load(path)
+
+    run.__name__ = f"file_{kind}"
+    QUERIES[run.__name__], ORACLES[run.__name__] = run, f"SELECT {', '.join(names)} FROM customer"
+
+
+for kind in ("csv", "json", "orc"):
+    as_files(kind, ["c_custkey", "c_name", "c_mktsegment"], "c_custkey long, c_name string, c_mktsegment string", **({"header": "true"} if kind == "csv" else {}))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def file_partitions(spark, d):
+    """Hive folders: the condition on the folder's column leaves two folders of three unread."""
+    path = file_folder(d, spark, "folders-orders")
+    read(spark, d, "orders").select("o_orderkey", "o_orderstatus").write.mode("overwrite").partitionBy("o_orderstatus").parquet(path)
+    return spark.sql(f"SELECT o_orderkey, o_orderstatus FROM parquet.`{path}` WHERE o_orderstatus = 'F'")
+
+
 # ---- filters ----------------------------------------------------------------------------------------
 
 LINE = ["l_orderkey", "l_linenumber", "l_quantity"]
@@ -428,6 +494,11 @@ same("agg_stddev_corr", "SELECT l_returnflag, round(stddev_samp(l_quantity), 4)
 same("agg_bool_bit", "SELECT o_orderstatus, bool_and(o_totalprice > 0) AS every, bool_or(o_totalprice > 400000) AS some, bit_and(o_custkey) AS ba, bit_or(o_custkey) AS bo, bit_xor(o_custkey) AS bx FROM orders GROUP BY o_orderstatus")
 same("agg_string_array", "SELECT n_regionkey, string_agg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names, sort_array(array_agg(n_nationkey)) AS numbers FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, list_sort(array_agg(n_nationkey)) AS numbers FROM nation GROUP BY n_regionkey")
 same("agg_median_percentile", "SELECT l_linenumber, round(median(l_quantity), 4) AS mid, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY l_quantity), 4) AS p90 FROM lineitem GROUP BY l_linenumber")
+same(
+    "agg_ordered_values",
+    "SELECT o_custkey, first_value(o_orderkey ORDER BY o_totalprice) AS cheap, last_value(o_orderkey ORDER BY o_totalprice) AS dear, nth_value(o_orderkey, 2 ORDER BY o_orderkey DESC) AS late FROM orders GROUP BY o_custkey",
+    "SELECT o_custkey, arg_min(o_orderkey, o_totalprice) AS cheap, arg_max(o_orderkey, o_totalprice) AS dear, list_sort(list(o_orderkey), 'DESC')[2] AS late FROM orders GROUP BY o_custkey",
+)
 same("agg_first_last", "SELECT o_orderstatus, min_by(o_orderkey, o_orderkey) AS first_key, max_by(o_orderdate, o_orderkey) AS last_date FROM orders GROUP BY o_orderstatus")
 
 
@@ -546,6 +617,11 @@ def subq_any(spark, d):
 same("values_table", "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y')) AS t(a, b)")
 same("unnest_array", "SELECT e FROM unnest(array(1, 2, 3)) AS t(e)", "SELECT unnest([1, 2, 3]) AS e")
 same("generate_series", "SELECT v FROM generate_series(1, 20, 3) AS t(v)", "SELECT CAST(v AS INT) AS v FROM generate_series(1, 20, 3) AS t(v)")
+same(
+    "unpivot",
+    "SELECT * FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, CAST(p_retailprice AS DOUBLE) AS price FROM part) UNPIVOT (amount FOR what IN (size, price))",
+    "SELECT p_partkey, 'size' AS what, CAST(p_size AS DOUBLE) AS amount FROM part UNION ALL SELECT p_partkey, 'price', CAST(p_retailprice AS DOUBLE) FROM part",
+)
 same("pivot", "SELECT * FROM (SELECT l_returnflag, l_linenumber FROM lineitem) PIVOT (count(*) FOR l_returnflag IN ('A' AS a, 'N' AS n, 'R' AS r))", "SELECT l_linenumber, nullif(count(*) FILTER (WHERE l_returnflag = 'A'), 0) AS a, nullif(count(*) FILTER (WHERE l_returnflag = 'N'), 0) AS n, nullif(count(*) FILTER (WHERE l_returnflag = 'R'), 0) AS r FROM lineitem GROUP BY l_linenumber")
 
 # ---- scalar functions -----------------------------------------------------------------------------------------------

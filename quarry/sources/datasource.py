@@ -54,6 +54,9 @@ class DumpSource(DataSource):
     def reader(self, schema):
         return DumpReader(self._table())
 
+    def writer(self, schema, overwrite):
+        raise DumpError("a dump is only read: rows can't be inserted")
+
 
 class DumpReader(DataSourceReader):
     def __init__(self, table):

@@ -10,6 +10,7 @@ from pyarrow import csv
 
 from ..errors import DumpError
 from ..functions.columns import unescaped
+from .copytext import MAX_LINE
 from .dumpmap import CopyBlock
 
 STEP = 1 << 20
@@ -24,8 +25,8 @@ class Segment:
     end: int
 
 
-def row_bytes(source, block: CopyBlock, start: int, end: int) -> tuple[int, bytes]:
-    """(offset of the first row, bytes of all whole rows) that begin in [start, end)."""
+def row_bytes(source, block: CopyBlock, start: int, end: int, longest: int = MAX_LINE) -> tuple[int, bytes]:
+    """(offset of the first row, bytes of all whole rows) that begin in [start, end); a row over ``longest`` bytes is refused."""
     start, end = max(start, block.data_start), min(end, block.data_end)
     if start >= end:
         return start, b""
@@ -43,14 +44,27 @@ def row_bytes(source, block: CopyBlock, start: int, end: int) -> tuple[int, byte
     at = end
     parts = [data]
     if data and not data.endswith(b"\n"):
+        last = end - len(data) + data.rfind(b"\n") + 1
         while at < block.data_end:
+            if at - last > longest:
+                raise too_long(block, last, longest)
             more = source.read(at, min(at + STEP, block.data_end))
             stop = more.find(b"\n") + 1
             parts.append(more[:stop] if stop else more)
             at += len(more)
             if stop:
                 break
-    return base, b"".join(parts)
+    data = b"".join(parts)
+    if len(data) > longest:
+        starts = row_offsets(data, base)
+        lengths = np.diff(np.append(starts, base + len(data)))
+        if lengths.max() > longest:
+            raise too_long(block, int(starts[lengths.argmax()]), longest)
+    return base, data
+
+
+def too_long(block: CopyBlock, at: int, longest: int) -> DumpError:
+    return DumpError(f"{block.header.table}: the row at byte {at} has over {longest} bytes")
 
 
 def columns_of(data: bytes, block: CopyBlock, wanted: list[str]) -> tuple[dict[str, pa.Array], int]:

@@ -9,7 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from .operators.dump import Dump
+from .operators.dump import Dump, register_dump
+from .plans import dialect
 from .sources.writer import HEAD, copy_block, create_table
 
 TYPE_DDL = "CREATE TYPE public.mood AS ENUM (\n    'sad',\n    'fine',\n    'glad'\n);\n\nCREATE TYPE public.spot AS (\n    x integer,\n    y text\n);\n\n"
@@ -108,6 +109,23 @@ def write_root(path: str) -> None:
         f.write(block.replace("Data for Name: log;", "Data for Name: log_low;").replace("COPY public.log", "-- load via partition root public.log\nCOPY public.log"))
 
 
+def write_odd(path: str) -> None:
+    """Values that no column's type holds, values that their declared type refuses, and every escape."""
+    with open(path, "w", newline="\n") as f:
+        f.write(HEAD)
+        tables = {
+            "odd": ([("k", "integer"), ("v", "date"), ("n", "numeric(6,2)")], [(1, "infinity", "1.5"), (2, None, "2"), (3, "-infinity", None), (4, "2024-05-06", "NaN"), (5, "2024-05-07", "0")]),
+            "wrong": ([("a", "integer"), ("b", "integer"), ("c", "text NOT NULL")], [(1, "x", "u"), (2, "99999999999", None), (3, "3", "w")]),
+        }
+        for name, (columns, _) in tables.items():
+            f.write(create_table("public", name, columns))
+        f.write(create_table("public", "escapes", [("k", "integer"), ("v", "text")]))
+        for name, (columns, rows) in tables.items():
+            f.write(copy_block("public", name, [n for n, _ in columns], rows))
+        head, _, tail = copy_block("public", "escapes", ["k", "v"], ()).partition("\\.\n")
+        f.write(head + "1\ta\\tb\\nc\\\\d\n2\t\\x41\\132\\b\\f\\v\\r\n3\t\\N\n4\t\n5\t\\\\N\n\\.\n" + tail)
+
+
 def registered(dump_path: Callable) -> tuple[dict[str, Callable], dict[str, str]]:
     """The queries and their SQL; ``dump_path(spark, folder, kind, make)`` gives the path of a written dump."""
     queries, oracles = {}, {}
@@ -135,6 +153,24 @@ def registered(dump_path: Callable) -> tuple[dict[str, Callable], dict[str, str]
 
     queries["dump_databases"] = several_databases
     oracles["dump_databases"] = "SELECT * FROM (VALUES ('first', 1, 'a'), ('first', 2, 'b'), ('second', 3, 'c')) AS t(db, k, v)"
+    def held(spark, d) -> DataFrame:
+        register_dump(spark, "odd", dump_path(spark, d, "odd", write_odd))
+        return dialect.sql(spark, "SELECT k FROM odd_public_odd WHERE v IS NULL AND NOT unrepresentable(v) OR unrepresentable(odd_public_odd.n)")
+
+    def refused(spark, d) -> DataFrame:
+        return Dump(spark, dump_path(spark, d, "odd", write_odd)).table("wrong").strict_check().select("name", "refused", "nulls")
+
+    def escaped(spark, d) -> DataFrame:
+        return Dump(spark, dump_path(spark, d, "odd", write_odd)).table("escapes").scan()
+
+    queries["sql_unrepresentable"] = held
+    oracles["sql_unrepresentable"] = "SELECT k FROM (VALUES (2), (4)) AS t(k)"
+    queries["filter_unrepresentable"] = lambda spark, d: Dump(spark, dump_path(spark, d, "odd", write_odd)).table("odd").scan(["k"], where="v is unrepresentable")
+    oracles["filter_unrepresentable"] = "SELECT k FROM (VALUES (1), (3)) AS t(k)"
+    queries["stats_strict"] = refused
+    oracles["stats_strict"] = "SELECT * FROM (VALUES ('b', CAST(2 AS BIGINT), CAST(0 AS BIGINT)), ('c', 0, 1)) AS t(name, refused, nulls)"
+    queries["dump_escapes"] = escaped
+    oracles["dump_escapes"] = "SELECT 1 AS k, 'a' || chr(9) || 'b' || chr(10) || 'c' || chr(92) || 'd' AS v UNION ALL SELECT 2, 'AZ' || chr(8) || chr(12) || chr(11) || chr(13) UNION ALL SELECT 3, NULL UNION ALL SELECT 4, '' UNION ALL SELECT 5, chr(92) || 'N'"
     queries["partition_root"] = lambda spark, d: Dump(spark, dump_path(spark, d, "root", write_root)).table("log").scan()
     oracles["partition_root"] = "SELECT * FROM (VALUES (1, 'low'), (9, 'top')) AS t(k, v)"
     return queries, oracles

@@ -9,11 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from quarry import cli
+from quarry import cli, typequeries
+from quarry.errors import DumpError
 from quarry.functions import scalars, tables
 from quarry.operators import info, relational
-from quarry.operators.dump import Dump
+from quarry.operators.dump import Dump, register_dump
 from quarry.plans import dialect
+from quarry.sources import datasource
 from quarry.sources.writer import write_dump
 from quarry.streaming import windows
 
@@ -196,3 +198,114 @@ def test_blocks_are_inflated_once_for_small_reads(tmp_path):
     del source.inflate
     again = pickle.loads(pickle.dumps(source))
     assert again.read(10, 20) == data[10:20] and source.cuts() is source.cuts()
+
+
+@pytest.fixture(scope="module")
+def odd(tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("odd") / "odd.sql")
+    typequeries.write_odd(path)
+    return path
+
+
+def test_unrepresentable_in_sql(spark, odd):
+    register_dump(spark, "q", odd)
+    register_dump(spark, "plain", odd, schema_mode="strings")
+    keys = lambda text: sorted(r.k for r in dialect.sql(spark, text).collect())
+    assert keys("SELECT k FROM q_public_odd WHERE unrepresentable(v)") == [1, 3]
+    assert keys("SELECT * FROM q_public_odd WHERE v IS NULL AND NOT Unrepresentable(\"v\")") == [2]
+    assert keys("SELECT a.k FROM q_public_odd a JOIN q_public_odd b ON a.k = b.k WHERE unrepresentable(a.v) OR unrepresentable(b.n)") == [1, 3, 4]
+    assert dialect.sql(spark, "SELECT * FROM q_public_odd WHERE unrepresentable(v)").columns == ["k", "v", "n"] == spark.table("q_public_odd").columns
+    assert dialect.sql(spark, "SELECT 'unrepresentable(v)' AS s").first().s == "unrepresentable(v)"
+    spark.range(3).selectExpr("id AS v").createOrReplaceTempView("no_dump")
+    for text in ("SELECT v FROM no_dump WHERE unrepresentable(v)", "SELECT k FROM q_public_odd WHERE unrepresentable(k + 1)", "SELECT k FROM plain_public_odd WHERE unrepresentable(v)", "SELECT k FROM q_public_odd WHERE unrepresentable(nothing)"):
+        with pytest.raises(DumpError):
+            dialect.sql(spark, text)
+    assert spark.table("q_public_odd").columns == ["k", "v", "n"]  # as it was
+
+
+def test_strict_check(spark, odd, tmp_path):
+    d = Dump(spark, odd)
+    assert {(r.name, r.refused, r.nulls) for r in d.table("wrong").strict_check().collect()} == {("b", 2, 0), ("c", 0, 1)}
+    assert d.table("odd").strict_check().count() == 0
+    with pytest.raises(DumpError):
+        d.table("odd", invalid="strict")
+    out = io.StringIO()
+    assert cli.main(["parse", odd, "--strict"], spark, out) == 1 and "wrong.b: 2 refused" in out.getvalue()
+
+
+def test_levels_of_statistics(spark, odd, tmp_path):
+    d = Dump(spark, odd, sidecar=str(tmp_path))
+    d.gather("metadata", {"public.odd": "data", "public.odd.n": "metadata", "public.wrong.a": "data"})
+    held = lambda table, column: d.table(table, inheritance="only").kept_statistics([column]) is not None
+    assert held("odd", "k") and held("odd", "v") and held("wrong", "a")
+    assert not held("odd", "n") and not held("wrong", "b") and not held("escapes", "k")
+    for wrong in ({"public.odd": "some"}, {"public.none": "data"}):
+        with pytest.raises(DumpError):
+            d.gather("data", wrong)
+    with pytest.raises(DumpError):
+        Dump(spark, odd).gather()
+
+
+@pytest.mark.parametrize("chunk", ["0", "7", "64"])
+def test_pages_and_limits(spark, tmp_path, chunk):
+    path = write_dump(str(tmp_path / "n.sql"), {"n": spark.range(0, 60, 1, 1).selectExpr("id", "id % 3 AS m")})
+    spark.conf.set("quarry.chunk_size", chunk)
+    try:
+        t = Dump(spark, path).table("n")
+        pages, token = [], None
+        while True:
+            rows, token = t.page(9, token, ["id"], where="m = 1")
+            pages.append([r[0] for r in rows])
+            if not token:
+                break
+        assert [x for p in pages for x in p] == list(range(1, 60, 3)) and [len(p) for p in pages] == [9, 9, 2]
+        _, token = t.page(4, None, ["id"], where="m = 1")
+        assert sorted(r.id for r in t.rest(token, ["id"], where="m = 1").collect()) == list(range(13, 60, 3))
+        for other in ({"columns": ["id"], "where": "m = 2"}, {"columns": ["m"], "where": "m = 1"}):
+            with pytest.raises(DumpError):
+                t.page(4, token, **other)
+        found = [r.id for r in t.scan(["id"], where="m = 1", limit=5).collect()]
+        assert len(set(found)) == 5 and set(found) <= set(range(1, 60, 3))
+        assert t.scan(limit=0).count() == 0 and t.scan(limit=1000).count() == 60 and t.scan([], limit=7).count() == 7
+        assert t.page(0)[0] == []
+    finally:
+        spark.conf.unset("quarry.chunk_size")
+
+
+@pytest.mark.parametrize("chunk", ["0", "10"])
+def test_long_rows_are_refused(spark, tmp_path, chunk):
+    path = write_dump(str(tmp_path / "long.sql"), {"t": spark.createDataFrame([(1, "a"), (2, "b" * 500), (3, "c")], "k int, v string")})
+    spark.conf.set("quarry.chunk_size", chunk)
+    try:
+        spark.conf.set("quarry.memory", "503")
+        assert Dump(spark, path).table("t").scan().count() == 3
+        spark.conf.set("quarry.memory", "100")
+        with pytest.raises(Exception, match="has over 100 bytes"):
+            Dump(spark, path).table("t").scan().count()
+        spark.conf.set("quarry.memory", "much")
+        with pytest.raises(DumpError):
+            Dump(spark, path).table("t").scan()
+    finally:
+        spark.conf.unset("quarry.memory")
+        spark.conf.unset("quarry.chunk_size")
+
+
+def test_ordered_values(spark):
+    spark.createDataFrame([(1, "a", 3), (1, "b", 1), (1, "c", None), (2, "d", 5)], "g int, v string, k int").createOrReplaceTempView("gvk")
+    text = "SELECT g, first_value(v ORDER BY k) AS f, last_value(v ORDER BY k DESC) AS l, nth_value(v, 2 ORDER BY k) AS n FROM gvk GROUP BY g"
+    assert {tuple(r) for r in dialect.sql(spark, text).collect()} == {(1, "b", "b", "a"), (2, "d", "d", None)}
+    assert dialect.sql(spark, "SELECT first_value(v) OVER (PARTITION BY g ORDER BY k) AS f FROM gvk").count() == 4
+
+
+def test_information_schema(spark, shop):
+    register_dump(spark, "listed", shop)
+    assert [r.table_type for r in dialect.sql(spark, "SELECT * FROM information_schema.tables WHERE table_name = 'listed_public_item'").collect()] == ["TEMPORARY"]
+    found = dialect.sql(spark, "SELECT column_name, data_type FROM information_schema.columns WHERE table_name = 'listed_public_item' ORDER BY ordinal_position").collect()
+    assert [tuple(r) for r in found] == [("id", "int"), ("name", "string"), ("price", "double")]
+    assert {r.name for r in dialect.sql(spark, "SELECT * FROM information_schema.df_settings").collect()} == {"quarry.chunk_size", "quarry.memory"}
+
+
+def test_dumps_are_read_only(spark, shop):
+    datasource.register(spark)
+    with pytest.raises(Exception, match="only read"):
+        spark.createDataFrame([(4, "d", 1.0)], "id int, name string, price double").write.format("dump").mode("append").option("path", shop).option("table", "item").save()
