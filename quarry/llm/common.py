@@ -14,6 +14,9 @@ from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, Struct
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 << 20
 
+#: Bytes of rows that a Python worker gets at a time: beside the JVM's heap, each task holds a few such batches.
+BATCH_BYTES = 4 << 20
+
 #: The six ASCII white-space characters of the contracts, [\x20\x09-\x0D].
 BLANKS = " \t\n\u000b\f\r"
 
@@ -70,6 +73,17 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` over batches bounded in bytes, so that long texts don't add up to large ones.
+
+    Batches are made when the plan runs, by the session's setting: one that is set already holds.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def value_bytes(df: DataFrame) -> Column:
     """Bytes of a row's values of no fixed width, nested ones as JSON."""
     parts = [F.lit(0)]

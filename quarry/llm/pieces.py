@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_batches
+
 SPACE = "▁"
 SEGMENT = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 #: Segments of each of two generations, and neighbour pairs, whose results a worker keeps.
@@ -181,7 +183,7 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
+    out = in_batches(rows, run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
     return out.withColumnRenamed("id", id_col)
 
 
@@ -195,4 +197,4 @@ def decode_pieces(df: DataFrame, path: str, ids_col: str = "ids", text_col: str
             texts = [None if x.as_py() is None else coder.decode(x.as_py()) if len(x.as_py()) else "" for x in batch.column(batch.schema.get_field_index(ids_col))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_fold
+from .common import id_fold, in_batches
 from .toxicity import collect_features, read_examples
 
 BUCKETS = 2048
@@ -150,4 +150,4 @@ def score_quality(docs: DataFrame, machine: Machine, id_col: str = "doc_id", tex
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    return in_batches(rows, run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -141,4 +143,4 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} {FIELDS[n]}" for n in names)).withColumnRenamed("id", id_col)
+    return in_batches(rows, run, f"id {kind}, " + ", ".join(f"{n} {FIELDS[n]}" for n in names)).withColumnRenamed("id", id_col)

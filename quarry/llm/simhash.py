@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import SIGNATURE, cut, keep_one, signature
+from .common import SIGNATURE, cut, in_batches, keep_one, signature
 from .components import components
 
 BITS = 64
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *more)
     fields = rows.schema.fields
-    return rows.mapInArrow(run, StructType([fields[0], StructField("fp", LongType()), *fields[2:]]))
+    return in_batches(rows, run, StructType([fields[0], StructField("fp", LongType()), *fields[2:]]))
 
 
 class Forest:
@@ -210,7 +210,7 @@ def links(codes: DataFrame, budget: int = 4) -> DataFrame:
         for at in range(0, len(u), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(u[at : at + (1 << 16)]), pa.array(v[at : at + (1 << 16)])], names=["u", "v"])
 
-    return dealt.select("fp", "bucket").repartition(parts, "bucket").mapInArrow(run, "u long, v long")
+    return in_batches(dealt.select("fp", "bucket").repartition(parts, "bucket"), run, "u long, v long")
 
 
 def linked(codes: DataFrame, budget: int) -> DataFrame:

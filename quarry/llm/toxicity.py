@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import StructField, StructType
 
-from .common import cut, id_fold
+from .common import cut, id_fold, in_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the stems of a word: insults of a language share stems, some of which harmless words share too.
@@ -178,7 +178,7 @@ def collect_features(examples: DataFrame, make, kinds: list) -> list[tuple[int,
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))], names=["id", "y", *names])
 
     schema = StructType([*examples.schema.fields[:2], *(StructField(n, from_arrow_type(k)) for n, k in zip(names, kinds))])
-    return [(r.y, tuple(r[n] for n in names)) for r in sorted(examples.mapInArrow(run, schema).collect(), key=lambda r: r.id)]
+    return [(r.y, tuple(r[n] for n in names)) for r in sorted(in_batches(examples, run, schema).collect(), key=lambda r: r.id)]
 
 
 def count_stems(examples: DataFrame) -> dict[str, tuple[int, int]]:
@@ -196,7 +196,7 @@ def count_stems(examples: DataFrame) -> dict[str, tuple[int, int]]:
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64()), pa.array([toxic[w] for w in words], pa.int64())], names=["stem", "seen", "toxic"])
 
     total, pos = examples.agg(F.count(F.lit(1)), F.sum("y")).first()
-    counts = examples.mapInArrow(run, "stem string, seen long, toxic long").groupBy("stem").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+    counts = in_batches(examples, run, "stem string, seen long, toxic long").groupBy("stem").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
     n, p, m, a = F.lit(float(total)), F.lit(float(pos or 0)), F.col("seen"), F.col("toxic")
     # as in chi_square, a little wider: the driver decides
     near = F.pow(a - m * p / n, 2) * F.pow(n, 3) >= F.lit(0.99 * CHI_SQUARE) * m * (n - m) * p * (n - p)
@@ -243,7 +243,7 @@ def score_toxicity(docs: DataFrame, index: ToxicIndex, id_col: str = "doc_id", t
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, score double, predicted int, nearest double, toxic_neighbours int").withColumnRenamed("id", id_col)
+    return in_batches(rows, run, f"id {kind}, score double, predicted int, nearest double, toxic_neighbours int").withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, index: ToxicIndex, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -261,4 +261,4 @@ def drop_toxic(docs: DataFrame, index: ToxicIndex, text_col: str = "text", thres
             keep = [index.score(index.search(index.vector(stems(t.as_py() or "", index.idf)), NEIGHBOURS)) < threshold for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
