@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from . import typequeries
 from .errors import DumpError
-from .functions import scalars
-from .operators import relational
+from .functions import scalars, tables
+from .operators import info, relational
 from .operators.dump import Dump, register_dump
 from .plans import dialect
 from .plans.predicate import Term, between, is_truth
@@ -436,6 +436,41 @@ def stats_row_groups(spark, d):
     return dump(spark, d).table("orders", group_bytes=64 << 10).statistics()
 
 
+@query("SELECT count(*) AS n, CAST(sum(length(CAST(o_orderkey AS VARCHAR))) AS BIGINT) AS key_bytes, min(o_orderkey) AS low, max(o_orderkey) AS high, CAST(sum(o_orderkey) AS BIGINT) AS total, true AS ordered FROM orders")
+def stats_sorted_sizes(spark, d):
+    """Order, bytes, bounds and sums of a sorted column, put together from its row groups."""
+    groups = dump(spark, d).table("orders", group_bytes=GROUP_BYTES).statistics(["o_orderkey"])
+    number = [F.col(c).cast("long") for c in ("low", "high")]
+    return groups.agg(
+        F.sum("rows").alias("n"), F.sum("value_bytes").alias("key_bytes"), F.min(number[0]).alias("low"), F.max(number[1]).alias("high"),
+        F.sum("total").cast("long").alias("total"), F.every(F.col("order") == "ascending").alias("ordered"),
+    )
+
+
+@query("SELECT 'customer' AS \"table\", count(*) AS n FROM customer GROUP BY ALL UNION ALL SELECT 'region', count(*) FROM region")
+def stats_counts(spark, d):
+    """Row counts of whole tables from statistics alone."""
+    found = dump(spark, d)
+    rows = [(t, found.table(t).stats_aggregate(("count", None))) for t in ("customer", "region")]
+    return spark.createDataFrame([(t, int(next(iter(a.values())))) for t, a in rows], "table string, n long")
+
+
+@query("SELECT * FROM (VALUES ('region', 0, 'r_regionkey', 'integer', 'int'), ('region', 1, 'r_name', 'text', 'string')) AS t(\"table\", position, name, declared, spark_type)")
+def info_columns(spark, d):
+    return info.columns(dump(spark, d)).where("table = 'region'").select("table", "position", "name", "declared", "spark_type")
+
+
+@query("SELECT * FROM (VALUES ('TABLE', CAST(8 AS BIGINT)), ('TABLE DATA', 8)) AS t(kind, n)")
+def info_object_kinds(spark, d):
+    return info.object_kinds(dump(spark, d)).select("kind", "n")
+
+
+@query("SELECT * FROM (VALUES ('region', 2), ('nation', 3), ('customer', 5)) AS t(\"table\", n)")
+def info_blocks(spark, d):
+    found = info.blocks(dump(spark, d)).where("table IN ('region', 'nation', 'customer') AND start < data_start AND data_end < end")
+    return found.select("table", F.size("columns").alias("n"))
+
+
 # ---- table composition ----------------------------------------------------------------------------------
 
 
@@ -515,6 +550,17 @@ def agg_approximate(spark, d):
     return rows.agg(F.approx_count_distinct("l_orderkey").alias("orders"), F.approx_percentile("l_quantity", [0.5, 0.9]).alias("quantiles"))
 
 
+@query("SELECT true AS orders_near, true AS median_near")
+def agg_approximate_error(spark, d):
+    """Approximate aggregates beside the exact ones: a tenth is within their tolerance."""
+    rows = read(spark, d, "lineitem")
+    both = rows.agg(
+        F.approx_count_distinct("l_orderkey", 0.03).alias("near"), F.count_distinct("l_orderkey").alias("exact"),
+        F.approx_percentile("l_quantity", 0.5).alias("half"), F.median("l_quantity").alias("median"),
+    )
+    return both.select((F.abs(F.col("near") - F.col("exact")) <= F.col("exact") * 0.1).alias("orders_near"), (F.abs(F.col("half") - F.col("median")) <= 1).alias("median_near"))
+
+
 same("agg_select_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
 same("agg_distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
 
@@ -554,6 +600,34 @@ def join_range(spark, d):
     return relational.range_join(read(spark, d, "customer"), bands, "c_acctbal", "low", "high", 100.0).select("c_custkey", "band")
 
 
+@query("SELECT e.event_id, p.bought FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS bought FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) p ON e.user_id = p.user_id AND e.ts >= p.ts")
+def join_as_of(spark, d):
+    """Each event with its user's latest purchase not after it."""
+    events = read(spark, d, "events")
+    bought = events.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("bought"))
+    return relational.as_of_join(events.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "ts", ["bought"]).select("event_id", "bought")
+
+
+same("join_theta_only", "SELECT r_name, n_name FROM region JOIN nation ON r_regionkey < n_regionkey")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders")
+def udtf_parquet_metadata(spark, d):
+    """Row counts by the footers of files, beside a lateral use of a table function."""
+    tables.register(spark)
+    path = file_folder(d, spark, "footers-orders")
+    read(spark, d, "orders").select("o_custkey").write.mode("overwrite").parquet(path)
+    rows = spark.sql(f"SELECT sum(rows) AS n FROM parquet_metadata('{path}') WHERE column = 'o_custkey'")
+    return rows.join(spark.read.parquet(path).agg(F.count_distinct("o_custkey").alias("customers")))  # one row each
+
+
+@query("SELECT r_regionkey, CAST(value AS BIGINT) AS value FROM region, LATERAL (SELECT unnest(generate_series(1, r_regionkey)) AS value)")
+def udtf_generate_series(spark, d):
+    tables.register(spark)
+    read(spark, d, "region").createOrReplaceTempView("region")
+    return spark.sql("SELECT r_regionkey, g.value FROM region, LATERAL generate_series(1, r_regionkey, 1) AS g")
+
+
 # ---- windows, order, sets, subqueries ---------------------------------------------------------------------------
 
 same("window_rank", "SELECT n_nationkey, rank() OVER (PARTITION BY n_regionkey ORDER BY length(n_name)) AS r, dense_rank() OVER (PARTITION BY n_regionkey ORDER BY length(n_name)) AS dr, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS rn, round(percent_rank() OVER (PARTITION BY n_regionkey ORDER BY n_name), 6) AS pr, round(cume_dist() OVER (PARTITION BY n_regionkey ORDER BY n_name), 6) AS cd FROM nation")
