@@ -643,6 +643,51 @@ def test_one_common_line_and_crowded_buckets(spark, monkeypatch):
     assert got == {i: int(0 < i < 100 or i >= 200) for i, _ in docs}
 
 
+def test_no_link_within_a_block_is_lost(spark):
+    """All pairs of every block by their edit distance, against the groups: lines of one passage, edits in a third of the words."""
+    rng = random.Random(27)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=8))
+    shared, lines = [word() for _ in range(34)], []
+    for _ in range(60):
+        line = [*shared, *(word() for _ in range(10))]
+        changed = set(rng.sample(range(len(line)), 14))
+        other = [w[:3] + "z" + w[4:] if n in changed else w for n, w in enumerate(line)]
+        lines += [" ".join(line), " ".join(other)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    blocks = line_dedup.signed(line_dedup.lines_of(df, "doc_id", "text")).select("id", F.explode(line_dedup.block_keys()).alias("key"))
+    met = blocks.join(blocks.withColumnRenamed("id", "other"), "key").where("id < other").select("id", "other").distinct().collect()
+    part = list(range(len(lines)))
+
+    def root(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    for i, j in met:
+        if edit_distance(lines[i], lines[j]) <= int((1 - line_dedup.SIMILARITY) * max(len(lines[i]), len(lines[j]))):
+            part[max(root(i), root(j))] = min(root(i), root(j))
+    got = {r["doc_id"]: r["n_dropped"] for r in rows(line_dedup.dedup_lines(df))}
+    assert got == {i: int(root(i) != i) for i in range(len(lines))} and sum(got.values()) >= 3
+
+
+def test_bounds_hold_the_distance(spark):
+    rng, pairs = random.Random(28), []
+    for n in range(120):
+        a = "".join(rng.choices("abcdefgh ", k=rng.choice([5, 15, 60, 150, 300, 900])))
+        b = list(a)
+        for _ in range(rng.randrange(1 + len(a) // 6)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(2)] = rng.choices("abcdé ", k=rng.randrange(3))
+        pairs.append((a, "".join(b) or "x"))
+    found = spark.createDataFrame(pairs, "a string, b string")
+    seen = Counter()
+    for r in found.select("a", "b", line_dedup.bounds(found["a"], found["b"]).alias("found")).collect():
+        d, limit = edit_distance(r["a"], r["b"]), int((1 - line_dedup.SIMILARITY) * max(len(r["a"]), len(r["b"])))
+        assert r["found"]["least"] <= d and (r["found"]["most"] is not None) == (d <= limit) and (r["found"]["most"] is None or r["found"]["most"] >= d)
+        seen[d <= limit] += 1
+    assert min(seen[True], seen[False]) >= 20
+
+
 def test_texts_of_one_id_lose_their_own_lines(spark):
     docs = [(1, "alpha line\nbeta line"), (1, "gamma line\ndelta line"), (2, "delta line"), (None, "beta line"), (2, "delta line"), (None, None)]
     got = {(r["doc_id"], r["text"]): r["cleaned"] for r in rows(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")))}
