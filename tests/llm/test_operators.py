@@ -670,6 +670,35 @@ def test_no_link_within_a_block_is_lost(spark):
     assert got == {i: int(root(i) != i) for i in range(len(lines))} and sum(got.values()) >= 3
 
 
+def test_crowded_buckets_give_links_only(spark):
+    """Buckets give the pairs that are alike, each once, and tallies refuse none of them: by all pairs of all blocks."""
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrsté", k=rng.randrange(3, 9)))
+    long, short, lines = [word() for _ in range(24)], [word() for _ in range(7)], []
+    for n in range(60):
+        words = [*(long if n % 2 else short), *(word() for _ in range(9 if n % 2 else 3))]
+        other = [w[:2] + "z" + w[2:] if rng.random() < 0.3 else w for w in words]
+        lines += [" ".join(words), " ".join(other)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = line_dedup.lines_of(df, "doc_id", "text")
+    found = line_dedup.signed(found).join(found.select("id", "norm"), "id").withColumn("keys", line_dedup.block_keys())
+    rows_of = found.select("id", "kind", "chars", "norm", "keys", *line_dedup.TALLIES).collect()
+    want, met = set(), 0
+    for a, b in itertools.combinations(rows_of, 2):
+        if a["kind"] == b["kind"]:
+            d, most = edit_distance(a["norm"], b["norm"]), int((1 - line_dedup.SIMILARITY) * max(a["chars"], b["chars"]))
+            assert sum(((a[t] ^ b[t]) & (2**64 - 1)).bit_count() for t in line_dedup.TALLIES) + abs(a["chars"] - b["chars"]) <= 2 * d
+            shared = len(set(a["keys"]) & set(b["keys"]))
+            met += shared
+            if shared and d <= most:
+                want.add((a["kind"], min(a["id"], b["id"]), max(a["id"], b["id"])))
+    node = F.col("id") * 2 + (F.col("kind") == "words").cast("int")
+    left = found.select("*", F.posexplode("keys").alias("n", "key")).select("key", node.alias("node"), node.alias("label"), "chars", *line_dedup.TALLIES, F.slice("keys", F.lit(1), F.col("n")).alias("earlier"), F.floor(F.log("chars") / line_dedup.BAND_WIDTH).cast("int").alias("band"), "norm")
+    got = line_dedup.links_within(line_dedup.stored(left)).collect()
+    assert len(got) == len(want) and {("words" if u % 2 else "letters", u // 2, v // 2) for u, v in got} == want
+    assert met > 4 * len(want) and {k for k, _, _ in want} == {"letters", "words"}
+
+
 def test_bounds_hold_the_distance(spark):
     rng, pairs = random.Random(28), []
     for n in range(120):
