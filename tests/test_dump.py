@@ -15,7 +15,7 @@ from quarry.errors import AmbiguousTable, DumpError, RefusedValue, SourceChanged
 from quarry.operators.dump import Dump, register_dump
 from quarry.operators.render import rendered, show
 from quarry.plans.where import parse_where
-from quarry.sources import copytext, dumpmap
+from quarry.sources import copytext, dumpmap, writer
 from quarry.sources.byteio import open_source
 from quarry.sources.writer import HEAD, copy_block, create_table
 
@@ -309,3 +309,43 @@ def test_refusals_name_the_value():
 
     with pytest.raises(RefusedValue, match="abc"):
         decode(resolve("integer"), "abc")
+
+
+def test_rows_of_a_written_dump_pass_no_driver(spark, tmp_path, monkeypatch):
+    rows = spark.range(0, 5000, 1, 7).selectExpr("id", "if(id % 5 = 0, null, concat('a\t\\\\', id)) AS text", "id / 4 AS part")
+    few = spark.createDataFrame([], "k int, v string")
+    expected, wanted = sorted(map(tuple, rows.collect())), tuples(rows)
+    for name in ("toArrow", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(type(rows), name, lambda *a, **k: pytest.fail("rows came to the driver"))
+    monkeypatch.setattr(writer, "TWICE", 1)  # a file is copied and goes before the next one
+    tables = {"t": rows, "few": few, "one": rows.select("text")}
+    plain = writer.write_dump(str(tmp_path / "w.sql"), tables)
+    kinds = {"w.sql": plain, "w.xz": writer.write_dump(str(tmp_path / "w.xz"), tables, pack=lzma.compress), "w.gz": writer.write_dump(str(tmp_path / "w.gz"), tables, pack=gzip.compress)}
+    assert sorted(os.listdir(tmp_path)) == sorted(kinds)
+    with open(plain, "rb") as f:
+        text = f.read()
+    assert lzma.open(kinds["w.xz"]).read() == text and gzip.open(kinds["w.gz"]).read() == text
+    for path in kinds.values():
+        d = Dump(spark, path)
+        dumpmap.check_tiling(d.map, len(text))
+        assert tuples(d.table("t").scan()) == wanted and d.table("few").scan().collect() == []
+        assert [r.id for r in d.table("t").ordered_scan(columns=["id"]).collect()] == [r[0] for r in expected]
+        assert d.table("one").scan(where="text is null").count() == 1000
+
+
+def test_end_of_block_is_found_at_every_cut():
+    class Held:
+        def __init__(self, data):
+            self.data = data
+
+        def read(self, start, end):
+            return self.data[start:end]
+
+    chance = random.Random(3)
+    for _ in range(3000):
+        data = bytes(chance.choice(b"\\.\n\r.\\\nx") for _ in range(chance.randrange(14)))
+        lines_ = data.split(b"\n")
+        starts = [sum(len(x) + 1 for x in lines_[:i]) for i in range(len(lines_))]
+        wanted = [o for o, x in zip(starts, lines_) if x == b"\\." or x == b"\\.\r" and o + 3 < len(data)]
+        a = chance.randrange(len(data) + 1)
+        assert dumpmap.terminators(Held(data), 0, a) + dumpmap.terminators(Held(data), a, len(data)) == wanted
