@@ -349,3 +349,12 @@ def test_end_of_block_is_found_at_every_cut():
         wanted = [o for o, x in zip(starts, lines_) if x == b"\\." or x == b"\\.\r" and o + 3 < len(data)]
         a = chance.randrange(len(data) + 1)
         assert dumpmap.terminators(Held(data), 0, a) + dumpmap.terminators(Held(data), a, len(data)) == wanted
+
+
+def test_statistics_are_gathered_by_few_tasks(spark, tmp_path):
+    d = dump_of(spark, tmp_path, table("t", [("a", "integer"), ("b", "text")], [(i, f"v{i}") for i in range(2000)]), sidecar=str(tmp_path / "map"))
+    t = d.table("t", group_bytes=64)
+    found = t.statistics()
+    assert found.count() == 2 * len(t._work()) > 200
+    assert found.selectExpr("input_file_name() AS f").distinct().count() <= 4 * spark.sparkContext.defaultParallelism
+    assert found.where("name = 'a'").agg({"total": "sum"}).first()[0] == 1999000
