@@ -309,3 +309,9 @@ def test_dumps_are_read_only(spark, shop):
     datasource.register(spark)
     with pytest.raises(Exception, match="only read"):
         spark.createDataFrame([(4, "d", 1.0)], "id int, name string, price double").write.format("dump").mode("append").option("path", shop).option("table", "item").save()
+
+
+def test_no_key_gets_a_sketch_of_its_own(spark):
+    found = __spark_entry__.queries()["agg_approximate_error"](spark, "/root/testdata/sf0.001")
+    assert "ObjectHashAggregate(keys=[l_orderkey" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert tuple(found.first()) == (True, True)
