@@ -16,7 +16,7 @@ from quarry.operators.dump import Dump, register_dump
 from quarry.operators.render import rendered, show
 from quarry.plans.where import parse_where
 from quarry.sources import copytext, dumpmap, writer
-from quarry.sources.byteio import open_source
+from quarry.sources.byteio import GzipSource, LocalSource, open_source
 from quarry.sources.writer import HEAD, copy_block, create_table
 
 
@@ -333,6 +333,24 @@ def test_rows_of_a_written_dump_pass_no_driver(spark, tmp_path, monkeypatch):
         assert d.table("one").scan(where="text is null").count() == 1000
 
 
+def test_gzip_members_need_no_spooling(spark, tmp_path, monkeypatch):
+    plain = (HEAD + table("t", [("a", "integer")], [(i,) for i in range(3000)])).encode()
+    for name, packed in {"several": b"".join(gzip.compress(plain[i : i + 700]) for i in range(0, len(plain), 700)), "one": gzip.compress(plain), "empty": gzip.compress(plain) + gzip.compress(b"")}.items():
+        (tmp_path / name).write_bytes(packed)
+        (tmp_path / f"{name}-spool").mkdir()
+        d = Dump(spark, str(tmp_path / name), spool_to=str(tmp_path / f"{name}-spool"))
+        assert d.table("t").scan(segment_bytes=100).count() == 3000 and not os.listdir(tmp_path / f"{name}-spool")
+    (tmp_path / "large").write_bytes(gzip.compress(plain + b"-" * (GzipSource.LARGEST + 1)))
+    assert GzipSource.open(LocalSource(str(tmp_path / "large"))) is None
+    monkeypatch.setattr(GzipSource, "LARGEST", 1000)
+    d = Dump(spark, str(tmp_path / "one"), spool_to=str(tmp_path / "one-spool"))
+    assert d.table("t").scan(segment_bytes=100).count() == 3000 and len(os.listdir(tmp_path / "one-spool")) == 1
+    for cut in (-1, 12):
+        (tmp_path / "cut").write_bytes(gzip.compress(plain)[:cut])
+        with pytest.raises(DumpError):
+            open_source(str(tmp_path / "cut"), str(tmp_path))
+
+
 def test_end_of_block_is_found_at_every_cut():
     class Held:
         def __init__(self, data):
